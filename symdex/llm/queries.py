@@ -1,0 +1,57 @@
+"""The p-queries: problem N's are named pN_..., and run over their whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import read
+from . import nearjoin, packing, splitting, tokens
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = nearjoin.similar(nearjoin.source(read(spark, sf, "chunks")))
+    return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return nearjoin.groups(nearjoin.source(read(spark, sf, "chunks"))).withColumnRenamed("id", "chunk_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.found(read(spark, sf, "chunks"))
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split(read(spark, sf, "chunks"))
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode(read(spark, sf, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.roundtrip(read(spark, sf, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = tokens.encode(read(spark, sf, "documents"), out="n", count_only=True)
+    return packing.pack(sizes, "doc_id", "n")
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p4_found": r"""
+            WITH c AS (SELECT chunk_id, regexp_replace(content, '\r\n?', chr(10), 'g') AS t FROM chunks)
+            SELECT DISTINCT chunk_id FROM c WHERE length(t) > 8000
+               OR length(t) - length(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END > 200""",
+        "p6_roundtrip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, true AS same FROM documents",
+    }
