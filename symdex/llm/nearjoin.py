@@ -30,45 +30,61 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 THRESHOLD, RUN, LEAST_TOKENS = 0.7, 4, 60
-BUCKET = 200  # classes of a run that are compared directly
+BUCKET = 1000  # classes of a run that are compared directly
 DEPTH = 3  # runs that two texts must have in common before pivots take over
 PIVOTS = 32
 LEVELS = 4
 WHOLE_CLASS = 16  # copies of classes up to this size are paired with each other; of larger ones each with the class's first
 BROADCAST_IDS = 100_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
+class _Words(dict):
+    """Token to its place in two growing arrays: a hash, and how much it says."""
+
+    def __init__(self) -> None:
+        self.hash, self.weight = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == self.hash.size:
+            self.hash, self.weight = np.resize(self.hash, 2 * at), np.resize(self.weight, 2 * at)
+        self.hash[at] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        self.weight[at] = sum(min(len(p), 8) for p in PART.findall(token)[:2]) or 1
+        self[token] = at
+        return at
+
+
 class Runs:
-    """Runs of tokens as 64-bit numbers: 8 bits fall as the run's length grows, 56 are a hash. Sorted, long runs come first."""
+    """Runs of tokens as 64-bit numbers: 8 bits fall with what the run says, 56 are a hash. Sorted, runs with long compound names come first, which are rare."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.words = _Words()
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > 500_000:
-            memo.clear()
-        got = []
-        for t in tokens:
-            x = memo.get(t)
-            if x is None:
-                x = memo[t] = (xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")), min(len(t), 64))
-            got.append(x)
-        n = len(got) - RUN + 1
+        n = len(tokens) - RUN + 1
         if n < 1:
             return np.empty(0, np.uint64)
-        a = np.array(got, dtype=np.uint64)
-        h, size = a[:, 0], a[:, 1]
-        x = np.zeros(n, np.uint64)
-        total = np.zeros(n, np.uint64)
+        words = self.words
+        if len(words) > 500_000:
+            words = self.words = _Words()
+        at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+        h, w = words.hash[at], words.weight[at]
         with np.errstate(over="ignore"):
-            for k in range(RUN):
-                x = (x ^ (h[k : k + n] * _MIX[k])) * _MIX[(k + 1) % 4]
+            x = h[:n] * _MIX[0]
+            total = w[:n].copy()
+            for k in range(1, RUN):
                 x ^= x >> np.uint64(29)
-                total += size[k : k + n]
-        return np.unique(((np.uint64(255) - np.minimum(total, np.uint64(255))) << np.uint64(56)) | (x >> np.uint64(8)))
+                x = (x ^ h[k : k + n]) * _MIX[k]
+                total += w[k : k + n]
+            x ^= x >> np.uint64(32)
+        x = ((np.uint64(255) - np.minimum(total, np.uint64(255))) << np.uint64(56)) | (x >> np.uint64(8))
+        x.sort()
+        keep = np.ones(n, bool)
+        np.not_equal(x[1:], x[:-1], out=keep[1:])
+        return x[keep]
 
 
 def _text_key(tokens: list[str]) -> bytes:
@@ -133,16 +149,25 @@ def prefixes(df: DataFrame, t: float) -> DataFrame:
     return df.select("content").mapInArrow(run, "run bigint, key bigint, place bigint")
 
 
-def _pairs_of(keys: np.ndarray, place: np.ndarray, t: float, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one run's classes that size and position don't rule out."""
-    i, j = np.triu_indices(keys.size, 1)
-    m, n = place[i] >> 32, place[j] >> 32
-    pm, pn = (place[i] & 0xFFFFFFFF) >> 1, (place[j] & 0xFFFFFFFF) >> 1
-    need = np.ceil(t / (1 + t) * (m + n) - 1e-9)
-    first = np.where(m <= n, place[i] & 1, place[j] & 1) | np.where(m == n, place[j] & 1, 0)
-    ok = (np.minimum(m, n) >= t * np.maximum(m, n) - 1e-9) & (shared + np.minimum(m - pm, n - pn) - 1 >= need) & (first == 1) & (keys[i] != keys[j])
-    a, b = keys[i[ok]], keys[j[ok]]
-    return np.minimum(a, b), np.maximum(a, b)
+def _pairs_of(runs: np.ndarray, keys: np.ndarray, place: np.ndarray, t: float, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes in the same run that size and position don't rule out; runs are sorted."""
+    size, at = place >> 32, (place & 0xFFFFFFFF) >> 1
+    out_a, out_b = [], []
+    i = np.arange(runs.size - 1)
+    d = 1
+    while i.size:
+        i = i[runs[i] == runs[i + d]]
+        j = i + d
+        m, n = size[i], size[j]
+        need = np.ceil(t / (1 + t) * (m + n) - 1e-9)
+        first = np.where(m <= n, place[i] & 1, place[j] & 1) | np.where(m == n, place[j] & 1, 0)
+        ok = (np.minimum(m, n) >= t * np.maximum(m, n) - 1e-9) & (shared + np.minimum(m - at[i], n - at[j]) - 1 >= need) & (first == 1) & (keys[i] != keys[j])
+        a, b = keys[i[ok]], keys[j[ok]]
+        out_a.append(np.minimum(a, b))
+        out_b.append(np.maximum(a, b))
+        d += 1
+        i = i[i + d < runs.size]
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64),) * 2
 
 
 def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataFrame:
@@ -168,20 +193,15 @@ def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataF
             starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             ends = np.append(starts[1:], r.size)
             open_from = starts[-1]
-            found_a, found_b, hot = [], [], []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                if e == r.size or r[s] == spilled:
-                    continue
-                if e - s > bucket:
-                    hot.append((s, e))
-                else:
-                    x, y = _pairs_of(k[s:e], p[s:e], t, shared)
-                    found_a.append(x)
-                    found_b.append(y)
+            hot = [(x, y) for x, y in zip(starts[ends - starts > bucket], ends[ends - starts > bucket]) if y < r.size and r[x] != spilled]
             if spilled is not None and r[0] == spilled and len(starts) > 1:
                 hot.append((0, ends[0]))
-            if found_a and sum(map(len, found_a)):
-                yield batch(np.concatenate(found_a), np.concatenate(found_b), None)
+            plain = np.ones(open_from, bool)
+            for x, y in hot:
+                plain[x:y] = False
+            x, y = _pairs_of(r[:open_from][plain], k[:open_from][plain], p[:open_from][plain], t, shared)
+            if x.size:
+                yield batch(x, y, None)
             for s, e in hot:
                 yield batch(k[s:e], p[s:e], r[s:e])
             if r.size - open_from > bucket or r[open_from] == spilled:
@@ -191,7 +211,7 @@ def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataF
             else:
                 held_r, held_k, held_p = r[open_from:], k[open_from:], p[open_from:]
         if held_r.size > 1:
-            x, y = _pairs_of(held_k, held_p, t, shared)
+            x, y = _pairs_of(held_r, held_k, held_p, t, shared)
             yield batch(x, y, None)
 
     parts = rows.repartition("run").sortWithinPartitions("run", "key")
