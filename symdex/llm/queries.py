@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import nearjoin, packing, splitting, tokens
+from . import nearjoin, packing, provenance, quality, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.evidence(read(spark, sf, "source_files"), read(spark, sf, "upstream_files"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_evidence(spark, sf).select("file_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = nearjoin.similar(nearjoin.source(read(spark, sf, "chunks")))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -43,6 +51,14 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n")
 
 
+def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(read(spark, sf, "documents"), read(spark, sf, "doc_labels"), read(spark, sf, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_stats(spark, sf).where("not is_prose").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
