@@ -1,5 +1,5 @@
 """Operators for training-data pipelines and the queries on them. Nothing outside this package imports it."""
 
-from .queries import oracle_sql, queries
+from .catalog import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
