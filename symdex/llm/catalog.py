@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import nearjoin, packing, provenance, quality, splitting, tokens
+from . import docpairs, nearjoin, packing, provenance, quality, splitting, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_evidence(spark, sf).select("file_id")
 
 
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.pairs(read(spark, sf, "chunks"), read(spark, sf, "source_files"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return docpairs.found(read(spark, sf, "chunks"), read(spark, sf, "source_files"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = nearjoin.similar(nearjoin.source(read(spark, sf, "chunks")))
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 MAX_LABELS = 20_000
 MAX_WORDS = 10_000  # size bound of the table of common words, which becomes part of the plan
-FEATURES = ("n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "prose_share", "list_share", "cell_share", "repeat_share", "foreign_share", "sentence_rate", "words_per_line", "identifier_share")
-#: Marks that end a sentence, and how a list entry begins.
+FEATURES = ("n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "prose_share", "list_share", "cell_share", "repeat_share", "words_per_line")
+#: Marks that end a sentence, and what parts the cells of a row, and how a list entry begins.
 ENDS = ".!?:;…。！？：；"
+CELLS = r"\t|\|[^|]*\||<t[dr]\b|;[^;]*;[^;]*;"
 LIST_MARK = r"^\s*(?:[-*+•·–—]\s|\[[ xX]\]|\(?\d{1,4}[.)\]:]\s?|\(?[A-Za-z][.)]\s|#{1,6}\s)"
 
 
@@ -31,11 +32,6 @@ def _chars(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
 
 
-def _matched(text: Column, pattern: str) -> Column:
-    """Characters of text that the pattern covers."""
-    return F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern), F.lit("")))
-
-
 def word_lists(common_words: DataFrame) -> tuple[list[str], list[str]]:
     """(words written with spaces, words of Han characters) of the table, in lower case; more than MAX_WORDS are refused."""
     rows = common_words.select(F.lower(F.trim("word")).alias("w")).where("length(w) > 0").distinct().limit(MAX_WORDS + 1).collect()
@@ -54,48 +50,47 @@ def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", t
     """
     spaced, han = word_lists(common_words)
     han_pattern = "|".join(sorted(han, key=lambda w: (-len(w), w))) or "(?!)"
-    base = df.select(F.col(id_col).alias("__id"), F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?| |\u0085", "\n").alias("t"))
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?|\u2028|\u0085", "\n")
+    a = df.select(F.col(id_col).alias("__id"), text.alias("t")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0))
+    # one struct per line, in two steps, so that the words of a line are looked for once only
+    cut = F.transform("lines", lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{M}&&[^\p{IsHan}]]+"), F.lit(0)).alias("w"), F.when(x.rlike(r"\p{IsHan}"), F.length(x) - F.length(F.regexp_replace(x, r"\p{IsHan}+", ""))).otherwise(0).alias("h")))
+    a = a.withColumn("cut", cut)
 
     def common(words: Column) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(spaced))) if spaced else F.lit(0)
 
-    def words_of(text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}&&[^\p{IsHan}]]+"), F.lit(0))
-
-    a = base.withColumn("low", F.lower("t")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0))
-    a = a.withColumn("words", words_of(F.col("low"))).withColumn("han", _matched(F.col("t"), r"[\p{IsHan}]+"))
-    a = a.withColumn("han_common", F.when(F.col("han") > 0, _matched(F.col("t"), han_pattern)).otherwise(0))
+    def told(x: Column) -> Column:
+        chars = F.aggregate(x["w"], F.lit(0), lambda n, w: n + F.length(w))
+        han_common = F.when(x["h"] > 0, F.length(x["x"]) - F.length(F.regexp_replace(x["x"], han_pattern, ""))).otherwise(0)
+        return F.struct(x["n"].alias("n"), F.size(x["w"]).alias("w"), common(x["w"]).alias("c"), chars.alias("l"), x["h"].alias("h"), han_common.alias("hc"), x["x"].rlike(f"[{ENDS}][\"')”’»]*\\s*$").alias("end"), x["x"].rlike(LIST_MARK).alias("item"), x["x"].rlike(CELLS).alias("cell"))
 
-    def is_prose(line: Column) -> Column:
-        low = F.lower(line)
-        return (F.size(F.filter(words_of(low), lambda w: w.isin(spaced))) * 5 >= F.size(words_of(low))) & line.rlike(r"\p{L}+[\s,;'`]+[\p{L}`]+") & (F.size(F.filter(words_of(low), lambda w: w.isin(spaced))) > 0) if spaced else F.lit(False)
+    a = a.withColumn("told", F.transform("cut", told))
+    names = ("n", "w", "c", "l", "h", "hc", "ends", "items", "cells", "prose")
 
-    def is_prose_han(line: Column) -> Column:
-        return (_matched(line, r"[\p{IsHan}]+") > 3) & (_matched(line, han_pattern) * 5 >= _matched(line, r"[\p{IsHan}]+"))
+    def add(s: Column, x: Column) -> Column:
+        prose = ((x["c"] * 5 >= x["w"] + 0) & (x["c"] > 0) & (x["w"] > 1)) | ((x["h"] > 3) & (x["hc"] * 5 >= x["h"]))
+        grows = {"n": x["n"], "w": x["w"], "c": x["c"], "l": x["l"], "h": x["h"], "hc": x["hc"], "ends": x["end"].cast("int"), "items": F.when(x["item"], x["n"]).otherwise(0), "cells": F.when(x["cell"], x["n"]).otherwise(0), "prose": F.when(prose, x["n"]).otherwise(0)}
+        return F.struct(*[(s[k] + grows[k]).alias(k) for k in names])
 
-    shown = _chars(F.col("lines"))
-    prose = _chars(F.filter("lines", lambda x: F.when(F.col("han") > 0, is_prose_han(x) | is_prose(x)).otherwise(is_prose(x))))
-    sentences = F.filter(F.split("t", r"(?<=[.!?。！？])\s*|\n+"), lambda x: F.length(x) > 12)
-    n_words = F.size("words") + F.col("han")
-    letters = _chars(F.col("words"))
+    a = a.withColumn("s", F.aggregate("told", F.struct(*[F.lit(0).alias(k) for k in names]), add))
+    a = a.withColumn("parts", F.filter(F.split("t", r"(?<=[.!?。！？])|\n"), lambda x: F.length(x) > 12))
+    s = {k: F.col("s")[k] for k in names}
+    n_words = s["w"] + s["h"]
     made = a.select(
         "__id",
         F.length("t").cast("long").alias("n_chars"),
-        F.size("lines").alias("n_lines"),
+        F.size("told").alias("n_lines"),
         n_words.cast("long").alias("n_words"),
-        _ratio(letters + F.col("han"), n_words).alias("mean_word_len"),
-        _ratio(_matched(F.col("t"), r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。，、；：！？“”‘’（）-]+"), F.length("t")).alias("symbol_ratio"),
-        _ratio(_matched(F.col("t"), r"\p{N}+"), F.length("t")).alias("digit_ratio"),
-        _ratio(F.size(F.filter("lines", lambda x: F.rtrim(x).rlike(f"[{ENDS}][\"')”’»]*$"))), F.size("lines")).alias("end_punct_share"),
-        _ratio(common(F.col("words")) + F.col("han_common"), n_words).alias("common_share"),
-        _ratio(prose, shown).alias("prose_share"),
-        _ratio(_chars(F.filter("lines", lambda x: x.rlike(LIST_MARK))), shown).alias("list_share"),
-        _ratio(_chars(F.filter("lines", lambda x: x.rlike(r"\t|\|.*\||<t[dr]\b|(?:[^,]*,){4}[^ ]|(?:[^;]*;){3}[^ ]|\S {2,}\S+ {2,}\S"))), shown).alias("cell_share"),
-        _ratio(_chars(sentences) - _chars(F.array_distinct(sentences)), _chars(sentences)).alias("repeat_share"),
-        _ratio(_matched(F.col("t"), r"[\u0080-¿�¼½¾ÃÂâãåæçèéäï]{2,}"), F.length("t")).alias("foreign_share"),
-        _ratio(_matched(F.col("t"), r"[.!?。！？]+(?=\s|$|\p{IsHan})"), n_words).alias("sentence_rate"),
-        _ratio(n_words, F.size("lines")).alias("words_per_line"),
-        _ratio(_matched(F.col("t"), r"\b\w+(?:_\w+)+\b|\b\w*[a-z]\w*[A-Z]\w*\b|\b\w*[A-Za-z]\w*\d+\w*\b|\b[A-Z]{4,}\b"), F.length("t")).alias("identifier_share"),
+        _ratio(s["l"] + s["h"], n_words).alias("mean_word_len"),
+        _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。，、；：！？“”‘’（）-]+", "")), F.length("t")).alias("symbol_ratio"),
+        _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[0-9]+", "")), F.length("t")).alias("digit_ratio"),
+        _ratio(s["ends"], F.size("told")).alias("end_punct_share"),
+        _ratio(s["c"] + s["hc"], n_words).alias("common_share"),
+        _ratio(s["prose"], s["n"]).alias("prose_share"),
+        _ratio(s["items"], s["n"]).alias("list_share"),
+        _ratio(s["cells"], s["n"]).alias("cell_share"),
+        _ratio(_chars(F.col("parts")) - _chars(F.array_distinct("parts")), _chars(F.col("parts"))).alias("repeat_share"),
+        _ratio(n_words, F.size("told")).alias("words_per_line"),
     )
     return made.withColumnRenamed("__id", id_col)
 
