@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import docpairs, nearjoin, packing, provenance, quality, splitting, tokens
+from . import docpairs, nearjoin, packing, provenance, quality, splitting, tokens, validity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,14 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split(read(spark, sf, "chunks"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.found(read(spark, sf, "source_files"))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.rates(read(spark, sf, "source_files"), read(spark, sf, "chunks"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(read(spark, sf, "documents"))
 
