@@ -73,26 +73,30 @@ def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", t
         return F.struct(*[(s[k] + grows[k]).alias(k) for k in names])
 
     a = a.withColumn("s", F.aggregate("told", F.struct(*[F.lit(0).alias(k) for k in names]), add))
+    # explode of one element: filters on what follows must not be pushed below, where they'd repeat the work for each mention
+    a = a.select("__id", "t", F.size("told").alias("n_told"), F.explode(F.array("s")).alias("s"))
     a = a.withColumn("parts", F.filter(F.split("t", r"(?<=[.!?。！？])|\n"), lambda x: F.length(x) > 12))
     s = {k: F.col("s")[k] for k in names}
     n_words = s["w"] + s["h"]
     made = a.select(
         "__id",
+        F.explode(F.array(F.struct(
         F.length("t").cast("long").alias("n_chars"),
-        F.size("told").alias("n_lines"),
+        F.col("n_told").alias("n_lines"),
         n_words.cast("long").alias("n_words"),
         _ratio(s["l"] + s["h"], n_words).alias("mean_word_len"),
         _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。，、；：！？“”‘’（）-]+", "")), F.length("t")).alias("symbol_ratio"),
         _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[0-9]+", "")), F.length("t")).alias("digit_ratio"),
-        _ratio(s["ends"], F.size("told")).alias("end_punct_share"),
+        _ratio(s["ends"], F.col("n_told")).alias("end_punct_share"),
         _ratio(s["c"] + s["hc"], n_words).alias("common_share"),
         _ratio(s["prose"], s["n"]).alias("prose_share"),
         _ratio(s["items"], s["n"]).alias("list_share"),
         _ratio(s["cells"], s["n"]).alias("cell_share"),
         _ratio(_chars(F.col("parts")) - _chars(F.array_distinct("parts")), _chars(F.col("parts"))).alias("repeat_share"),
-        _ratio(n_words, F.size("told")).alias("words_per_line"),
-    )
-    return made.withColumnRenamed("__id", id_col)
+        _ratio(n_words, F.col("n_told")).alias("words_per_line"),
+        ))).alias("f"),
+    )
+    return made.select(F.col("__id").alias(id_col), "f.*")
 
 
 @dataclass(frozen=True)
