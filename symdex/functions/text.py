@@ -29,9 +29,13 @@ def camel_parts(c: Column) -> Column:
 
 
 def split_identifiers(c: Column) -> Column:
-    """Parts of all identifiers that have more than one, in order."""
-    names = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0))
-    return F.flatten(F.filter(F.transform(names, camel_parts), lambda p: F.size(p) > 1))
+    """Parts of all identifiers that have more than one, in order, as text.
+
+    Boundaries are marked in one pass over the text, so nothing is done for each identifier.
+    """
+    marked = F.regexp_replace(c, CAMEL, "\x01")
+    names = F.regexp_extract_all(marked, F.lit("[A-Za-z][A-Za-z0-9]*(?:\x01[A-Za-z0-9]+)+"), F.lit(0))
+    return F.translate(F.array_join(names, " "), "\x01", " ")
 
 
 def cjk_bigrams(c: Column) -> Column:
@@ -69,7 +73,7 @@ def search_blob(symbol: Column, qualified: Column, imports: Column, signature: C
     base = F.concat_ws("\n", e(symbol), e(qualified), joined, e(signature), e(docstring), e(content))
     extras = split_identifiers(F.concat_ws(" ", e(symbol), e(qualified), joined, e(content)))
     pairs = cjk_bigrams(F.concat_ws("\n", e(docstring), e(content)))
-    return F.concat_ws("\n", base, F.nullif(F.array_join(extras, " "), F.lit("")), F.nullif(F.array_join(pairs, " "), F.lit("")))
+    return F.concat_ws("\n", base, F.nullif(extras, F.lit("")), F.nullif(F.array_join(pairs, " "), F.lit("")))
 
 
 def glob_regex(pattern: str) -> str:

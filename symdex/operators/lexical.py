@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ def phrase_counts(words: Column, phrases: list[list[str]]) -> Column:
     def count(p: list[str]) -> Column:
         if len(p) == 1:
             return F.size(F.filter(words, lambda w: w == p[0]))
-        wanted = F.array(*map(F.lit, p))
-        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, len(p)) == wanted))
+        # tokens hold no blanks; two between them let phrases that follow each other keep one each
+        joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+        return F.regexp_count(joined, F.lit(f"(?= {'  '.join(p)} )"))
 
     return F.array(*[count(p) for p in phrases])
 
@@ -102,8 +104,7 @@ def substring(df: DataFrame, text: Column, query: str) -> DataFrame:
     rows = df.withColumn("__t", F.lower(F.coalesce(text, F.lit("")))).withColumn("dl", F.greatest(F.length("__t") - 2, F.lit(0)))
     if len(needle) < 3:
         return rows.where(F.lit(False)).withColumn("score", F.lit(0.0)).drop("__t", "dl")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1))), lambda i: F.substring(F.col("__t"), i, F.lit(len(needle))) == needle)
-    count = F.when(F.col("__t").contains(needle), F.size(starts)).otherwise(0)
+    count = F.when(F.col("__t").contains(needle), F.regexp_count("__t", F.lit(f"(?={re.escape(needle)})"))).otherwise(0)
     return score(rows.withColumn("counts", F.array(count)).drop("__t"), 1)
 
 

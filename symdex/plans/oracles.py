@@ -23,8 +23,9 @@ def bm25(table: str, key: str, text: str, phrases: list[list[str]]) -> str:
     def count(p: list[str]) -> str:
         if len(p) == 1:
             return f"len(list_filter(t, lambda x: x = '{p[0]}'))"
-        wanted = "[" + ", ".join(f"'{x}'" for x in p) + "]"
-        return f"len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + {len(p) - 1}] = {wanted}))"
+        wanted = " " + "  ".join(p) + " "
+        joined = "' ' || array_to_string(t, '  ') || ' '"
+        return f"CAST((length({joined}) - length(replace({joined}, '{wanted}', ''))) / {len(wanted)} AS BIGINT)"
 
     n = range(len(phrases))
     idf = lambda i: f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END"
@@ -79,8 +80,11 @@ def module(c: str) -> str:
 
 
 CANDIDATE = r"CASE WHEN regexp_matches(i, '[/\\]') THEN regexp_replace(regexp_extract(i, '([^/\\]+)[/\\]*$', 1), '(.)\.[^.]+$', '\1') ELSE i END"
-MODULES = f"""mods AS (SELECT {module("file_path")} AS name, file_path AS source_path, end_line - start_line + 1 AS lines_of_code, imports FROM {CHUNKS} WHERE chunk_type = 'module'),
+LINKED = r"""(SELECT *, regexp_extract(lead(file_path) OVER (PARTITION BY repo_id ORDER BY file_path), '([^/]+)\.[^./]+$', 1) AS next FROM """ + CHUNKS + """ WHERE chunk_type = 'module')"""
+MODULES = f"""mods AS (SELECT {module("file_path")} AS name, file_path AS source_path, end_line - start_line + 1 AS lines_of_code,
+    CASE WHEN next IS NULL THEN imports ELSE list_append(imports, CASE WHEN start_line % 2 = 0 THEN '../near/' || next || '.ts' ELSE next END) END AS imports FROM {LINKED}),
     modnames AS (SELECT name, max(source_path) AS source_path FROM mods GROUP BY name)"""
+PLAIN = MODULES.replace(LINKED, f"(SELECT *, NULL AS next FROM {CHUNKS} WHERE chunk_type = 'module')")
 EDGES = f"""{MODULES},
     deps AS (SELECT DISTINCT src, {CANDIDATE} AS dep FROM (SELECT name AS src, unnest(imports) AS i FROM mods)),
     edges AS (SELECT DISTINCT src, dst FROM (SELECT src, coalesce((SELECT name FROM modnames m WHERE m.name = dep), (SELECT min(name) FROM modnames m WHERE ends_with(m.name, '.' || dep))) AS dst FROM deps WHERE dep <> '') WHERE dst IS NOT NULL AND dst <> src)"""
@@ -90,6 +94,7 @@ NODES = f"""{EDGES}, {SYMBOLS},
     nodes AS (SELECT * FROM (SELECT name, type, parent, NULL::VARCHAR AS source_path, location, 1 AS o FROM syms UNION ALL SELECT name, 'module', NULL, source_path, 1, 0 FROM modnames) QUALIFY row_number() OVER (PARTITION BY name ORDER BY o DESC) = 1)"""
 PUBLIC = f"""{EDGES}, public AS (SELECT {module("file_path")} AS name, symbol, file_path, start_line FROM {CHUNKS} WHERE chunk_type IN ('function', 'class') AND NOT starts_with(symbol, '_')),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, symbol) - 1 AS position FROM public WHERE name IN (SELECT name FROM modnames))"""
+PLAIN_EDGES = EDGES.replace(MODULES, PLAIN)
 NEXT = "near AS (SELECT src AS name, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges)"
 RERANK_Q = "flush ledger archive"
 
@@ -106,7 +111,7 @@ def rerank(query: str, rest: str = "score") -> str:
         + 0.01::DOUBLE / greatest(1, length({name}) - length(replace({name}, '.', ''))), 6)"""
 
 
-FETCHED = """(SELECT idx, file_path, lines, CASE WHEN lines IS NOT NULL THEN greatest(1, start_line - coalesce({b}, 0)) END AS first, least(len(lines), end_line + coalesce({a}, 0)) AS last FROM requests LEFT JOIN
+FETCHED = """(SELECT idx, file_path, lines, CASE WHEN lines IS NOT NULL THEN greatest(1, start_line - coalesce({b}, 0)) END AS first, CASE WHEN lines IS NOT NULL THEN least(len(lines), end_line + coalesce({a}, 0)) END AS last FROM requests LEFT JOIN
     (SELECT file_path, string_split(regexp_replace(content, '\\r\\n?', chr(10), 'g'), chr(10)) AS lines FROM """ + FILES + """ WHERE content IS NOT NULL) USING (file_path))"""
 CONTENT = "CASE WHEN lines IS NULL THEN NULL WHEN first > len(lines) OR last < first THEN '' ELSE array_to_string(lines[first:last], chr(10)) END"
 
@@ -138,13 +143,13 @@ ORACLES: dict[str, str] = {
     "postings_terms": f"SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 3",
     "substring_channel": f"WITH {substring(NEEDLE)} SELECT id AS chunk_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM named ORDER BY 2 DESC, 1 LIMIT 20",
     "rrf_hybrid": f"WITH {recall(NEEDLE, NEEDLE)} SELECT id AS chunk_id, round(score, 6) AS score FROM fused",
-    "graph_boost": f"""WITH {recall(NEEDLE, NEEDLE)}, {EDGES}, {NEXT}, placed AS (SELECT id, score, {module("split_part(id, '::', 1)")} AS module FROM fused),
+    "graph_boost": f"""WITH {recall(NEEDLE, NEEDLE)}, {PLAIN_EDGES}, {NEXT}, placed AS (SELECT id, score, {module("split_part(id, '::', 1)")} AS module FROM fused),
         best AS (SELECT module FROM placed ORDER BY round(score, 6) DESC, id LIMIT 1)
         SELECT id AS chunk_id, round(score + CASE WHEN module IN (SELECT neighbour FROM near WHERE name IN (SELECT module FROM best)) THEN 0.5::DOUBLE / 61 ELSE 0 END, 6) AS score FROM placed""",
     "rerank_heuristic": f"SELECT chunk_id, {rerank(RERANK_Q)} AS score FROM (SELECT *, 0.0::DOUBLE AS score FROM {CHUNKS})",
     "diversify": f"""WITH {bm25(CHUNKS, "chunk_id", BLOB, parse_query(CODE))}, best AS (SELECT id, round(score, 6) AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 200),
         n AS (SELECT id, score, row_number() OVER (PARTITION BY split_part(id, '::', 1) ORDER BY score DESC, id) - 1 AS e FROM best) SELECT id AS chunk_id, round(score - 0.15::DOUBLE * e, 6) AS score FROM n""",
-    "search_pipeline": f"""WITH {recall(_EXPANDED, _EXPANDED, 40)}, {EDGES}, {NEXT}, placed AS (SELECT id, score, {module("split_part(id, '::', 1)")} AS module FROM fused),
+    "search_pipeline": f"""WITH {recall(_EXPANDED, _EXPANDED, 40)}, {PLAIN_EDGES}, {NEXT}, placed AS (SELECT id, score, {module("split_part(id, '::', 1)")} AS module FROM fused),
         best AS (SELECT module FROM placed ORDER BY round(score, 6) DESC, id LIMIT 1),
         cut AS (SELECT id AS chunk_id, round_even(score + CASE WHEN module IN (SELECT neighbour FROM near WHERE name IN (SELECT module FROM best)) THEN 0.5::DOUBLE / 61 ELSE 0 END, 6) AS score FROM placed ORDER BY 2 DESC, 1 LIMIT 10),
         ranked AS (SELECT chunk_id, file_path, symbol, {rerank("flush ledger")} AS score FROM cut JOIN {CHUNKS} USING (chunk_id)),
