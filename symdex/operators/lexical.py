@@ -59,10 +59,16 @@ def score(counted: DataFrame, n: int) -> DataFrame:
     return found.withColumn("score", sum(parts, F.lit(0.0))).drop("counts", "dl", "__n", "__avg", *(f"__df{i}" for i in range(n)))
 
 
+def _kept(c: Column) -> Column:
+    """c as a column that later filters can't be pushed through: they'd compute it again for each mention."""
+    return F.explode(F.array(c))
+
+
 def bm25(df: DataFrame, text: Column, phrases: list[list[str]]) -> DataFrame:
     """df's rows that match any phrase, with score. One pass and one small aggregation; the rows don't move."""
-    words = df.withColumn("__w", tokens(F.coalesce(text, F.lit(""))))
-    return score(words.withColumn("dl", F.size("__w")).withColumn("counts", phrase_counts(F.col("__w"), phrases)).drop("__w"), len(phrases))
+    words = df.select("*", _kept(tokens(F.coalesce(text, F.lit("")))).alias("__w"))
+    counted = words.select(*df.columns, F.size("__w").alias("dl"), _kept(phrase_counts(F.col("__w"), phrases)).alias("counts"))
+    return score(counted, len(phrases))
 
 
 def bm25_postings(index: DataFrame, totals: DataFrame, phrases: list[list[str]]) -> DataFrame:
@@ -105,7 +111,7 @@ def substring(df: DataFrame, text: Column, query: str) -> DataFrame:
     if len(needle) < 3:
         return rows.where(F.lit(False)).withColumn("score", F.lit(0.0)).drop("__t", "dl")
     count = F.when(F.col("__t").contains(needle), F.regexp_count("__t", F.lit(f"(?={re.escape(needle)})"))).otherwise(0)
-    return score(rows.withColumn("counts", F.array(count)).drop("__t"), 1)
+    return score(rows.select(*df.columns, "dl", _kept(F.array(count)).alias("counts")), 1)
 
 
 def top(df: DataFrame, id_col: str, n: int, digits: int = 6) -> DataFrame:

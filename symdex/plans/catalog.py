@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.queries import CLUSTERS, cluster_lookup, expand_query, parse_query, window
 from ..operators import assemble, changes, graph, lexical, rank, vectors
-from ..session import read
+from ..session import cut, read
 from ..streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +91,7 @@ def substring_channel(spark, sf):
 def _recall(spark, sf, query, n=20):
     a = lexical.top(_code(spark, sf, query), "chunk_id", n)
     b = lexical.top(_symbols(spark, sf, query), "chunk_id", n)
-    return rank.fuse([a, b])
+    return cut(rank.fuse([a, b]))  # a few rows, which the next steps use more than once
 
 
 def rrf_hybrid(spark, sf):
@@ -117,20 +117,33 @@ def diversify(spark, sf):
     return rank.diversify(hits.select("id", "score", "file_path"), "file_path").select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
-def search_pipeline(spark, sf, query: str = "flush ledger", k: int = 10, language: str | None = None, path_glob: str | None = None):
-    """Expand, recall by words and by substring, fuse, boost, cut to k, rerank by the query as asked, spread over files."""
-    expanded, n = expand_query(query), lexical.recall_size(k)
-    code, names = _code(spark, sf, expanded), lexical.substring(chunk_fields(spark, sf, "symbol", "qualified_name", "language", "file_path"), F.concat_ws(" ", "symbol", "qualified_name"), expanded)
+def search_pipeline(spark, sf):
+    return search(read(spark, sf, "chunks").drop("indexed_at", "repo_id").dropDuplicates(["chunk_id"]), "flush ledger", 10)
+
+
+def search(chunks: DataFrame, query: str, k: int = 5, language: str | None = None, path_glob: str | None = None, custom: dict[str, list[str]] | None = None, edges: DataFrame | None = None, expand: bool = True, heuristics: bool = True, spread: bool = True) -> DataFrame:
+    """(chunk_id, file_path, symbol, score) of the k best chunks.
+
+    Expand, recall by words and by substring, fuse, boost, cut to k, rerank by the query as asked, spread over files. Filters
+    apply after the statistics, which are those of all chunks.
+    """
+    expanded, n = expand_query(query, custom) if expand else query, lexical.recall_size(k)
+    phrases = parse_query(expanded)
+    narrow = chunks.select("chunk_id", "symbol", "qualified_name", "language", "file_path")
+    code = lexical.bm25(chunks.select(*narrow.columns, "imports", "signature", "docstring", "content"), _blob(), phrases) if phrases else narrow.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    names = lexical.substring(narrow, F.concat_ws(" ", "symbol", "qualified_name"), expanded)
     if language:
         code, names = code.where(F.col("language") == language), names.where(F.col("language") == language)
     if path_glob:
         code, names = (x.where(F.col("file_path").rlike(X.glob_regex(path_glob))) for x in (code, names))
-    fused = rank.fuse([lexical.top(code, "chunk_id", n), lexical.top(names, "chunk_id", n)])
-    edges = graph.edges(chunk_fields(spark, sf, "chunk_type", "file_path", "start_line", "end_line", "imports"))
-    boosted = rank.boost(fused, _placed(spark, sf), edges)
+    fused = cut(rank.fuse([lexical.top(code, "chunk_id", n), lexical.top(names, "chunk_id", n)]))
+    placed = chunks.select(F.col("chunk_id").alias("id"), X.module_name(F.col("file_path")).alias("module"))
+    boosted = rank.boost(fused, placed, graph.edges(chunks) if edges is None else edges)
     best = boosted.select("id", F.bround("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    meta = chunk_fields(spark, sf, "symbol", "qualified_name", "signature", "docstring", "file_path").withColumnRenamed("chunk_id", "id")
-    ranked = rank.diversify(rank.rerank(meta.join(F.broadcast(best), "id"), query), "file_path")
+    meta = chunks.select(F.col("chunk_id").alias("id"), "symbol", "qualified_name", "signature", "docstring", "file_path")
+    ranked = meta.join(F.broadcast(best), "id")
+    ranked = rank.rerank(ranked, query) if heuristics else ranked
+    ranked = rank.diversify(ranked, "file_path") if spread else ranked
     return ranked.select(F.col("id").alias("chunk_id"), "file_path", "symbol", "score")
 
 
