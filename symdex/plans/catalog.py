@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.queries import CLUSTERS, cluster_lookup, expand_query, parse_query, window
 from ..operators import assemble, changes, graph, lexical, rank, vectors
-from ..session import cut, read
+from ..session import checkpoint_dir, cut, read
 from ..streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,7 +159,7 @@ def identifier_parts(spark, sf):
 
 
 def terms_dedup(spark, sf):
-    return documents(spark, sf).select("doc_id", F.array_join(X.terms(F.coalesce("text", F.lit(""))), " ").alias("terms"))
+    return documents(spark, sf).select("doc_id", F.array_join(F.array_sort(X.terms(F.coalesce("text", F.lit("")))), " ").alias("terms"))
 
 
 def cjk_bigrams(spark, sf):
@@ -374,6 +374,19 @@ def cooldown_batch(spark, sf):
     return E.cooldown(E.once(read(spark, sf, "file_events")).select("path", "ts"), "path", "ts", 3600.0)
 
 
+def stream_sessions(spark, sf):
+    """The watcher's log as a stream: bursts of each path that the watermark has closed, written by exactly-once batches."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(read(spark, sf, "file_events").schema).parquet(f"{sf}/file_events.parquet*").where("ts is not null and path is not null")
+    rows = rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), E.clean_path(F.col("path")).alias("path"))
+    bursts = E.session_stream(rows, late="30 days", once_by="event_id")
+    q = bursts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("path string, ts timestamp, n bigint").parquet(f"{folder}/out")
+
+
 def chunk_files(spark, sf):
     from ..sources.chunker import chunk_table
 
@@ -385,7 +398,7 @@ def queries() -> dict[str, Query]:
     camel_split identifier_parts terms_dedup cjk_bigrams sanitize_phrase glob_filter content_hash token_estimate language_of query_phrases
     window_fetch window_presets budget_pack assembled module_naming graph_nodes graph_edges graph_stats graph_exports neighbors module_context
     file_symbols project_symbols_top20 symbols_by_file file_imports index_status manifest_diff change_counters upsert_merge file_diff mtime_changed delete_file collision_ids block_islands
-    synonym_expand synonym_lookup cosine_knn cosine_threshold move_explode debounce_batch latest_event cooldown_batch chunk_files"""
+    synonym_expand synonym_lookup cosine_knn cosine_threshold move_explode debounce_batch latest_event cooldown_batch stream_sessions chunk_files"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -157,6 +157,8 @@ ORACLES: dict[str, str] = {
         SELECT chunk_id, file_path, symbol, CASE WHEN e > 0 THEN round_even(score - 0.15::DOUBLE * e, 6) ELSE score END AS score FROM n""",
     "camel_split": f"SELECT chunk_id, {camel('symbol')} AS parts FROM {CHUNKS}",
     "identifier_parts": f"SELECT chunk_id, coalesce(array_to_string({identifiers("coalesce(signature, '')")}, ' '), '') AS parts FROM {CHUNKS}",
+    "terms_dedup": f"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_concat(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'),
+        lambda w: list_prepend(w, string_split({camel('w')}, ' ')))), {pairs("coalesce(text, '')")}), lambda x: lower(x)))), ' '), '') AS terms FROM documents""",
     "cjk_bigrams": f"SELECT doc_id, coalesce(array_to_string({pairs("coalesce(text, '')")}, ' '), '') AS pairs FROM documents",
     "sanitize_phrase": r"SELECT chunk_id, trim(regexp_replace(regexp_replace(coalesce(signature, ''), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM " + CHUNKS,
     "glob_filter": f"SELECT chunk_id FROM {CHUNKS} WHERE file_path GLOB '*tests/**.py'",

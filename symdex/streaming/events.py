@@ -83,6 +83,12 @@ def debounce_stream(stream: DataFrame, key: str = "path", gap_s: float = DEBOUNC
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def session_stream(stream: DataFrame, key: str = "path", gap: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
-    """(path, ts, n) of each burst of a key, by event time: sessions that the watermark has closed."""
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.max("ts").alias("ts"), F.count("*").alias("n")).select(key, "ts", "n")
+def session_stream(stream: DataFrame, key: str = "path", gap: str = "500 milliseconds", late: str = "10 minutes", once_by: str | None = None) -> DataFrame:
+    """(path, ts, n) of each burst of a key, by event time: sessions that the watermark has closed.
+
+    With once_by, rows delivered again within the watermark count once; state is bounded by the watermark either way.
+    """
+    timed = stream.withWatermark("ts", late)
+    if once_by:
+        timed = timed.dropDuplicatesWithinWatermark([once_by])
+    return timed.groupBy(F.session_window("ts", gap), key).agg(F.max("ts").alias("ts"), F.count("*").alias("n")).select(key, "ts", "n")
