@@ -132,3 +132,20 @@ def test_session_stream(spark, tmp_path):
 def test_move_without_target(spark):
     df = spark.createDataFrame([(1, None, "moved", "a", None), (2, None, "moved", "a", "b")], "event_id long, ts timestamp, op string, path string, dest_path string")
     assert sorted((r["event_id"], r["path"], r["action"]) for r in events.actions(df).collect()) == [(1, "a", "delete"), (2, "a", "delete"), (2, "b", "upsert")]
+
+
+def test_debounce_stream(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "1.json").write_text("\n".join(json.dumps({"ts": f"2025-01-01T00:00:0{k}Z", "path": p}) for k, p in enumerate("aab")))
+    stream = spark.readStream.schema("ts timestamp, path string").json(str(log))
+    q = events.debounce_stream(stream, gap_s=0.3).writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    try:
+        for k in range(60):
+            time.sleep(0.5)
+            (log / f"x{k}.json").write_text("")
+            if spark.table("quiet").count() == 2:
+                break
+    finally:
+        q.stop()
+    assert {(r["path"], r["ts"].second) for r in spark.table("quiet").collect()} == {("a", 1), ("b", 2)}
