@@ -375,13 +375,20 @@ def cooldown_batch(spark, sf):
 
 
 def stream_sessions(spark, sf):
-    """The watcher's log as a stream: bursts of each path that the watermark has closed, written by exactly-once batches."""
+    """The watcher's log as a stream: all bursts of each path, written by exactly-once batches. The log is finished, so a closing row ends its last sessions."""
     import uuid
 
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(read(spark, sf, "file_events").schema).parquet(f"{sf}/file_events.parquet*").where("ts is not null and path is not null")
-    rows = rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), E.clean_path(F.col("path")).alias("path"))
-    bursts = E.session_stream(rows, late="30 days", once_by="event_id")
+    folder, late = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}", "30 days"
+
+    def timed(log: DataFrame) -> DataFrame:
+        kept = log.where("ts is not null and path is not null")
+        return kept.select("event_id", F.col("ts").cast("timestamp").alias("ts"), E.clean_path(F.col("path")).alias("path"))
+
+    log = timed(read(spark, sf, "file_events"))
+    E.closing(log, late).write.parquet(f"{folder}/closing")
+    rows = timed(spark.readStream.schema(read(spark, sf, "file_events").schema).parquet(f"{sf}/file_events.parquet*"))
+    rows = rows.unionByName(spark.readStream.schema(log.schema).parquet(f"{folder}/closing"))
+    bursts = E.session_stream(rows, late=late, once_by="event_id")
     q = bursts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("path string, ts timestamp, n bigint").parquet(f"{folder}/out")

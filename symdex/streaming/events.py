@@ -92,3 +92,13 @@ def session_stream(stream: DataFrame, key: str = "path", gap: str = "500 millise
     if once_by:
         timed = timed.dropDuplicatesWithinWatermark([once_by])
     return timed.groupBy(F.session_window("ts", gap), key).agg(F.max("ts").alias("ts"), F.count("*").alias("n")).select(key, "ts", "n")
+
+
+def closing(log: DataFrame, late: str, once_by: str = "event_id") -> DataFrame:
+    """One row of a finished log's columns (once_by a number, ts, path) that moves the watermark beyond all sessions of the log.
+
+    Its own session stays open, so it is never written.
+    """
+    end = log.agg(F.max("ts").alias("ts"), F.max(once_by).alias(once_by))
+    row = {"ts": F.coalesce("ts", F.lit(0).cast("timestamp")) + F.expr(f"interval {late}") + F.expr("interval 1 day"), once_by: F.coalesce(once_by, F.lit(0)) + 1, "path": F.lit("")}
+    return end.select(*(row[c].cast(log.schema[c].dataType).alias(c) for c in log.columns))

@@ -149,3 +149,18 @@ def test_debounce_stream(spark, tmp_path):
     finally:
         q.stop()
     assert {(r["path"], r["ts"].second) for r in spark.table("quiet").collect()} == {("a", 1), ("b", 2)}
+
+
+def test_stream_sessions_are_those_of_the_batch(spark, tmp_path):
+    from symdex.plans import catalog
+
+    t = dt.datetime(2025, 1, 1)
+    last = t + dt.timedelta(days=90)
+    ms = lambda x, k: x + dt.timedelta(milliseconds=k)
+    rows = [(1, t, "a"), (2, ms(t, 300), "./a"), (2, ms(t, 300), "./a"), (3, ms(t, 5000), "a"), (4, ms(last, -400), "b"), (5, last, "b"), (5, last, "b"), (6, ms(last, -86_400_000), "only late"), (7, None, "a"), (8, t, None)]
+    spark.createDataFrame([(i, x, "modified", p, None, x) for i, x, p in rows], "event_id long, ts timestamp, op string, path string, dest_path string, received_at timestamp").write.parquet(str(tmp_path / "file_events.parquet"))
+    got = sorted((r["path"], r["ts"], r["n"]) for r in catalog.stream_sessions(spark, str(tmp_path)).collect())
+    assert got == [("a", ms(t, 300), 2), ("a", ms(t, 5000), 1), ("b", last, 2), ("only late", ms(last, -86_400_000), 1)]
+    once = events.once(catalog.read(spark, str(tmp_path), "file_events"))
+    batch = once.groupBy(F.session_window("ts", "500 milliseconds"), "path").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    assert got == sorted((r["path"], r["ts"], r["n"]) for r in batch.collect())
