@@ -1,9 +1,8 @@
 """Problem 2: functions with the description in their documentation comment.
 
-Per file, comments and functions are matched as a bipartite assignment of least cost: a link costs its
-distance in lines, less what speaks for it (parameters named in tags, the function's name), and links across a blank line or
-from a comment that isn't documentation in the language are implausible and left out. The assignment is found by
-augmenting paths, each file by itself. In Python the docstring is in the function's own code, so its link is certain.
+Per file, comments and the lines where functions start are matched as a bipartite assignment. Only a comment directly above (but
+for attributes of Rust) that is documentation in the language is plausible, so a line has one candidate at most and the assignment decides
+nothing; functions that start on one line share its comment. In Python the docstring is in the function's own code, so its link is certain.
 
 Functions of files that aren't in the source table can only have docstrings. Null contents give no rows; repeated rows
 of a chunk or a file count once. Lines of chunks are those of the file with line ends made uniform.
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_WORDS = 4
-REACH = 6  # lines above a function in which a comment is looked at
 _TOKENS = re.compile(r"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|#[^\n]*|[\[({]|[\])}]|:|\bdef\b|\bclass\b", re.S)
 _DOCSTRING = re.compile(r"(?:\s|#[^\n]*|\\\n)*[rRuU]?(?:(?P<q>\"\"\"|''')(?P<a>(?:\\.|(?!(?P=q)).)*)(?P=q)|\"(?P<b>(?:\\.|[^\"\\\n])*)\"|'(?P<c>(?:\\.|[^'\\\n])*)')[ \t]*(?=[\n;#]|\Z)", re.S)
 _WORDS = re.compile(r"[㐀-䶿一-鿿豈-﫿𠀀-𲎯぀-ヿ]|(?:(?![㐀-䶿一-鿿豈-﫿𠀀-𲎯぀-ヿ])[^\W_])+(?:['’](?:(?![㐀-䶿一-鿿])[^\W_])+)*")
@@ -141,31 +139,15 @@ def name_parts(symbol: str) -> list[str]:
     return [p.lower() for p in _PARTS.findall(symbol or "")]
 
 
-def _parameters(signature: str | None) -> set[str]:
-    return set(re.findall(r"[A-Za-z_]\w+", (signature or "").partition("(")[2]))
-
-
 def link(lines: list[str], language: str, functions: list[tuple[int, str, str | None]]) -> list[str | None]:
     """The documentation comment of each function (start line, symbol, signature) of a file, or None."""
     comments = _blocks(lines, language)
-    costs: list[dict[int, float]] = []
-    ending: dict[int, list[int]] = {}
-    for k, c in enumerate(comments):
-        ending.setdefault(c.last, []).append(k)
-    for start, symbol, signature in functions:
-        top = _attributes_above(lines, start) if language == "rust" else start
-        plausible: dict[int, float] = {}
-        for distance in range(1, REACH + 1):
-            for k in ending.get(top - distance, ()):
-                c = comments[k]
-                between = lines[c.last : top - 1]
-                if not c.documents or between:  # a blank line or code parts them
-                    continue
-                low = c.text.lower()
-                tagged = set(re.findall(r"[@:]param\w*\s+(?:\{[^}]*\}\s*)?([A-Za-z_]\w*)", c.text)) & _parameters(signature)
-                plausible[k] = 10.0 * distance - 2.0 * len(tagged) - ("".join(name_parts(symbol)) in re.sub(r"[\W_]", "", low))
-        costs.append(plausible)
-    return [comments[k].text if k is not None else None for k in assign(costs)]
+    # what documents a function ends on the line above it, and on one line ends one comment
+    ending = {c.last: k for k, c in enumerate(comments) if c.documents}
+    tops = [_attributes_above(lines, start) if language == "rust" else start for start, _, _ in functions]
+    places = sorted(set(tops))
+    given = dict(zip(places, assign([{ending[p - 1]: 1.0} if p - 1 in ending else {} for p in places])))
+    return [comments[given[t]].text if given[t] is not None else None for t in tops]
 
 
 def docstring(content: str) -> str | None:

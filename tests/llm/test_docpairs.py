@@ -28,6 +28,11 @@ def test_links():
     assert D.link(js, "other", [(5, "a", "a(x)"), (7, "b", ""), (9, "c", None)]) == ["\nAdds x.\n@param x the x\n", None, None]
 
 
+def test_functions_of_one_line_share_the_comment():
+    js = ["/** Turns left and right. */", "const left = () => 1, right = () => 2;", "/** Far from all of them. */", "", "function stop() {}"]
+    assert D.link(js, "other", [(2, "left", None), (2, "right", None), (5, "stop", None)]) == ["Turns left and right.", "Turns left and right.", None]
+
+
 def test_assignment_prefers_the_cheapest_whole():
     assert D.assign([{0: 1.0, 1: 2.0}, {0: 1.5}, {}]) == [1, 0, None]
 
