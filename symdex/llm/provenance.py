@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 RUN = 5  # words of a run
 COPY_SHARE = 0.5
 LEAST_RUNS = 20
-LINE_SHARE = 0.05  # of a file's lines in published files, from which on the runs are compared
 LEAST_LINES, SHAPES_SHARE = 20, 0.85
 BROADCAST_RUNS = 2_000_000  # of published files; beyond, the runs are joined
 #: Phrases of the notices that public generators write.
@@ -162,11 +161,6 @@ class _Hash(dict):
 _hash = _Hash()
 
 
-def _lines(text: str) -> list[str]:
-    """Lines without white space, if long enough to tell."""
-    return [x for x in text.replace(" ", "").replace("\t", "").replace("\r", "").split("\n") if len(x) > 12]
-
-
 def _copies_by_join(files: DataFrame, upstream: DataFrame) -> DataFrame:
     """(file_id, package) by joining the runs, for any number of published files."""
 
@@ -195,13 +189,12 @@ def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
         rows = known.collect()
         sets = [runs(r["content"]) for r in rows]
         every = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-        lines = {x for r in rows for x in _lines(r["content"])}
-        table = files.sparkSession.sparkContext.broadcast((every, [np.searchsorted(every, s) for s in sets], [r["name"] for r in rows], lines))
+        table = files.sparkSession.sparkContext.broadcast((every, [np.searchsorted(every, s) for s in sets], [r["name"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         if table is not None:
-            every, where, names, lines = table.value
+            every, where, names = table.value
             count = np.zeros((len(where), every.size), bool) if every.size * len(where) <= 50_000_000 else None
             if count is not None:
                 for i, w in enumerate(where):
@@ -210,9 +203,6 @@ def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
         def copy_of(text: str) -> str | None:
             if table is None or not every.size:
                 return None
-            own = _lines(text)
-            if len(lines.intersection(own)) < LINE_SHARE * len(own):
-                return None
             x = runs(text)
             if x.size < LEAST_RUNS:
                 return None

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from symdex.llm import provenance as P
@@ -56,3 +58,14 @@ def test_table(spark, monkeypatch, bound):
     got = {r["file_id"]: r["kind"] for r in P.evidence(files, upstream).collect()}
     assert got == {1: "copy", 5: "path", 6: "generated"} and P.evidence(files, upstream).count() == 3
     assert P.evidence(files, upstream.limit(0)).count() == 2 and P.evidence(files.limit(0), upstream).count() == 0
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_rewrapped_copies(spark, monkeypatch, bound):
+    monkeypatch.setattr(P, "BROADCAST_RUNS", bound)
+    text = code(12, "alpha")
+    wrapped = "\n".join(textwrap.wrap(" ".join(text.split()), 61))
+    assert not {x.strip() for x in wrapped.split("\n")} & {x.strip() for x in text.split("\n")} and P.makeup(wrapped) is None
+    files = spark.createDataFrame([(1, "r/a.py", wrapped)], "file_id long, file_path string, content string")
+    upstream = spark.createDataFrame([(1, "pkg", "1.0", text)], "upstream_id int, package string, version string, content string")
+    assert [r["kind"] for r in P.evidence(files, upstream).collect()] == ["copy"]
