@@ -34,7 +34,7 @@ BUCKET = 1000  # classes of a run that are compared directly
 DEPTH = 3  # runs that two texts must have in common before pivots take over
 PIVOTS = 32
 LEVELS = 4
-WHOLE_CLASS = 16  # copies of classes up to this size are paired with each other; of larger ones each with the class's first
+WHOLE_CLASS = 16  # up to so many byte-equal copies are paired with each other; of more each with the first of them
 BROADCAST_IDS = 100_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -101,21 +101,22 @@ def least_shared(m: int, n: int, t: float) -> int:
 
 
 def members(df: DataFrame) -> DataFrame:
-    """(key, text_key, id) once for each row id of (id, content) with enough tokens; key is the class's short name."""
+    """(key, text_key, id, body) once for each row id of (id, content) with enough tokens; key is the class's short name, body a digest of the content as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, whole = [], [], []
+            ids, keys, whole, bodies = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = TOKEN.findall(text)
                 if len(tokens) >= LEAST_TOKENS:
                     digest = _text_key(tokens)
                     ids.append(i)
                     whole.append(digest)
+                    bodies.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                     keys.append(int.from_bytes(digest[:8], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(whole, pa.binary()), pa.array(ids, pa.string())], ["key", "text_key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(whole, pa.binary()), pa.array(ids, pa.string()), pa.array(bodies, pa.binary())], ["key", "text_key", "id", "body"])
 
-    return df.mapInArrow(run, "key bigint, text_key binary, id string").distinct()
+    return df.mapInArrow(run, "key bigint, text_key binary, id string, body binary").groupBy("key", "text_key", "id").agg(F.min("body").alias("body"))
 
 
 def prefixes(df: DataFrame, t: float) -> DataFrame:
@@ -387,19 +388,19 @@ def source(chunks: DataFrame) -> DataFrame:
 def similar(df: DataFrame, t: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, for df(id, content).
 
-    Texts of equal tokens have similarity 1. In classes of up to WHOLE_CLASS copies every pair is given, and every
-    member is paired with those of other classes. In larger ones each copy is paired with the class's first id, which alone
-    stands for the class towards others: a link between different texts is never lost.
+    Texts of equal tokens have similarity 1. Every pair is given, within classes and across them, but for contents that more than
+    WHOLE_CLASS ids have byte by byte: there each copy is paired with the first id, which alone stands for them towards
+    others (`groups` tells all members). Texts that differ in layout are no such copies.
     """
     who, stats = _classes(df)
     near = class_pairs(df, stats.select("key", F.col("first").alias("id")), t, bucket)
-    known = who.join(stats, "key")
+    equal = who.groupBy("key", "body").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    known = cut(who.join(equal, ["key", "body"]))
     stands = known.where((F.col("copies") <= WHOLE_CLASS) | (F.col("id") == F.col("first"))).select("key", "id")
     across = near.join(stands.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(stands.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
-    several = known.where("copies > 1")
-    star = several.where("id != first").select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
-    small = several.where((F.col("copies") <= WHOLE_CLASS) & (F.col("copies") > 2) & (F.col("id") != F.col("first")))
-    inside = small.select("key", F.col("id").alias("x")).join(small.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    several = stands.join(stats.where("copies > 1").select("key"), "key", "left_semi")
+    inside = several.select("key", F.col("id").alias("x")).join(several.select("key", F.col("id").alias("y")), "key").where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    star = known.where((F.col("copies") > WHOLE_CLASS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("similarity"))
     every = across.unionByName(star).unionByName(inside)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 

@@ -70,6 +70,12 @@ def test_large_class_is_a_star_and_keeps_links(spark):
     assert len(g) == 21 and {r["group_id"] for r in g.values()} == {"a00"} and g["z"]["n_links"] == 1 and g["a05"]["class_size"] == 20
 
 
+def test_large_class_of_other_layouts_is_paired_in_full(spark):
+    words = [f"t{k}" for k in range(100)]
+    rows = [(f"a{i:02d}", " ".join(words[:i]) + "\n" + " ".join(words[i:])) for i in range(1, 21)] + [("z", " ".join(words).replace("t50", "u"))]
+    assert found(spark, rows) == brute(rows) and len(brute(rows)) == 210
+
+
 def test_empty_and_columns(spark):
     df = spark.createDataFrame([], "chunk_id string, chunk_type string, content string, key string, id string, run long")
     assert N.similar(N.source(df)).count() == 0 and N.groups(N.source(df)).count() == 0
