@@ -50,6 +50,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return validity.found(read(spark, sf, "source_files"))
 
 
+def p5_repairs(spark: SparkSession, sf: str) -> DataFrame:
+    return validity.repairs(read(spark, sf, "source_files"), only_flagged=True).select("file_id", "language", "edits", "place", "cause")
+
+
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return validity.rates(read(spark, sf, "source_files"), read(spark, sf, "chunks"))
 
