@@ -28,6 +28,7 @@ DEFAULT_DIR = os.environ.get("SYMDEX_TOKENIZERS", "/opt/tokenizers")
 #: The pre-token pattern published with the byte_bpe_50k vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_ENTRIES = 400_000  # the memo is emptied when it holds so many; it only saves time
+FEW_CHARS = 65_536  # of longer texts the pre-tokens are taken one by one, which is slower but holds one only
 MEMO_BYTES = 48  # longer pre-tokens stream through the transducer
 
 
@@ -44,84 +45,96 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.lookahead = max(map(len, ranks))
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
         self._split = regex.compile(PATTERN)
-        # lengths of the tokens that end in given two bytes, longest first
-        ends: dict[bytes, set[int]] = {}
-        for b in ranks:
-            ends.setdefault(b[-2:], set()).add(len(b))
-        self._lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        # An automaton over bytes, made as it is walked: a state is the longest end of what was read that some token begins with.
+        self._begins = {b[:k] for b in ranks for k in range(1, len(b) + 1)} | {b""}
+        self._states: list[bytes] = [b""]
+        self._number: dict[bytes, int] = {b"": 0}
+        self._next: dict[int, int] = {}  # state * 256 + byte
+        self._ending: list[tuple[tuple[int, int], ...]] = [()]  # (token, length) of the tokens that end in a state, longest first
+
+    def _step(self, at: int, byte: int) -> int:
+        """The state that a byte leads to, where it isn't known yet."""
+        raw = self._states[at] + bytes((byte,))
+        while raw not in self._begins:
+            raw = raw[1:]
+        found = self._number.get(raw)
+        if found is None:
+            found = self._number[raw] = len(self._states)
+            self._states.append(raw)
+            self._ending.append(tuple((self.ranks[raw[k:]], len(raw) - k) for k in range(len(raw)) if raw[k:] in self.ranks))
+        self._next[at << 8 | byte] = found
+        return found
 
     def _merged(self, raw: bytes) -> list[int]:
         """Merge by rank; for the few bytes of a pair of tokens only."""
-        ranks, parts = self.ranks, [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[at] + parts[at + 1] not in ranks:
-                break
+        get, parts = self.ranks.get, [raw[i : i + 1] for i in range(len(raw))]
+        none = 1 << 60
+        pairs = [get(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            at = pairs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the merge list leaves these two tokens side by side as they are."""
-        found = self._compatible.get((left, right))
+        """Whether the merge list leaves these two tokens side by side as they are; left may be -1, the start."""
+        key = left << 32 | right
+        found = self._compatible.get(key)
         if found is None:
             if len(self._compatible) > MEMO_ENTRIES:
                 self._compatible.clear()
-            found = self._merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._compatible[left, right] = found
+            both = [right] if left < 0 else [left, right]
+            found = self._compatible[key] = self._merged(b"".join(self.bytes_of[t] for t in both)) == both
         return found
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token that comes in blocks of bytes, each emitted as soon as it is stable."""
         window = self.lookahead
-        raw = bytearray()  # bytes from position base on
         last: deque[int] = deque()  # last token of the prefix that ends after position base + k
-        base = 0  # all before is emitted
-        before = -1  # the token emitted last
+        before = -1  # the token emitted last; what it covers is forgotten
         due = window * 4
+        state, step, ending, known = 0, self._next, self._ending, self._compatible
+        n = 0
         for block in blocks:
             for byte in block:
-                raw.append(byte)
-                last.append(self._last(raw, last, before))
-                if len(raw) >= due:
-                    ids, used = self._stable(raw, last, window)
+                to = step.get(state << 8 | byte)
+                state = self._step(state, byte) if to is None else to
+                n += 1
+                for t, size in ending[state]:
+                    if size <= n:
+                        previous = last[n - size - 1] if n > size else before
+                        fits = known.get(previous << 32 | t)
+                        if self.compatible(previous, t) if fits is None else fits:
+                            last.append(t)
+                            break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                if n >= due:
+                    ids, used = self._stable(last, window)
                     yield from ids
                     if ids:
                         before = ids[-1]
-                        base += used
-                        del raw[:used]
                         for _ in range(used):
                             last.popleft()
-                    due = len(raw) + window
-        ids, end = [], len(raw)
-        while end > 0:
-            t = last[end - 1]
-            ids.append(t)
-            end -= len(self.bytes_of[t])
+                        n -= used
+                    due = n + window
+        ids = []
+        while n > 0:
+            ids.append(last[n - 1])
+            n -= len(self.bytes_of[ids[-1]])
         yield from reversed(ids)
 
-    def _last(self, raw: bytearray, last: deque[int], before: int) -> int:
-        n = len(raw)
-        for size in (*self._lengths.get(bytes(raw[-2:]), ()), 1):
-            if size > n:
-                continue
-            t = self.ranks.get(bytes(raw[n - size :]))
-            if t is None:
-                continue
-            previous = last[n - size - 1] if n > size else before
-            if previous < 0:
-                if self._merged(bytes(raw[n - size :])) == [t]:
-                    return t
-            elif self.compatible(previous, t):
-                return t
-        raise ValueError("the vocabulary lacks a byte")
-
-    def _stable(self, raw: bytearray, last: deque[int], window: int) -> tuple[list[int], int]:
+    def _stable(self, last: deque[int], window: int) -> tuple[list[int], int]:
         """Tokens that the encodings of all of the last `window` prefixes share."""
         paths = None
-        for end in range(len(raw) - window, len(raw) + 1):
+        for end in range(len(last) - window, len(last) + 1):
             cuts = set()
             at = end
             while at > 0:
@@ -149,6 +162,10 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         memo = self._memo
+        if text and len(text) > FEW_CHARS:
+            for m in self._split.finditer(text):
+                out += memo.get(m[0]) or self._piece(m[0])
+            return out
         for piece in self._split.findall(text or ""):
             out += memo.get(piece) or self._piece(piece)
         return out
