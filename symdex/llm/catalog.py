@@ -76,7 +76,7 @@ def p8_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_stats(spark, sf).where("not is_prose").select("doc_id")
+    return quality.found(read(spark, sf, "documents"), read(spark, sf, "doc_labels"), read(spark, sf, "common_words"))
 
 
 def queries() -> dict[str, Query]:

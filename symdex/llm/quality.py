@@ -20,8 +20,9 @@ MAX_WORDS = 10_000  # size bound of the table of common words, which becomes par
 FEATURES = ("n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "prose_share", "list_share", "cell_share", "repeat_share", "words_per_line")
 #: Marks that end a sentence, and what parts the cells of a row, and how a list entry begins.
 ENDS = ".!?:;…。！？：；"
-CELLS = r"\t|\|[^|]*\||<t[dr]\b|;[^;]*;[^;]*;"
-LIST_MARK = r"^\s*(?:[-*+•·–—]\s|\[[ xX]\]|\(?\d{1,4}[.)\]:]\s?|\(?[A-Za-z][.)]\s|#{1,6}\s)"
+CELLS = r"\t|\|[^|\n]*\||<t[dr]\b|;[^;\n]*;[^;\n]*;"
+LIST_MARK = r"[-*+•·–—]\s|\[[ xX]\]|\(?\d{1,4}[.)\]:]\s?|\(?[A-Za-z][.)]\s|#{1,6}\s"
+WORD = r"[\p{L}\p{M}&&[^\p{IsHan}]]++"
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -32,71 +33,126 @@ def _chars(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
 
 
-def word_lists(common_words: DataFrame) -> tuple[list[str], list[str]]:
-    """(words written with spaces, words of Han characters) of the table, in lower case; more than MAX_WORDS are refused."""
-    rows = common_words.select(F.lower(F.trim("word")).alias("w")).where("length(w) > 0").distinct().limit(MAX_WORDS + 1).collect()
+def _han(words: Column) -> Column:
+    """A word of the table counts for Han if it has a character of the unified ideographs or their first extension."""
+    return words.rlike("[\u3400-\u4dbf\u4e00-\u9fff]")
+
+
+def _patterns(words: list[str]) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+def word_lists(common_words: DataFrame) -> tuple[list[str], list[str]] | None:
+    """(words written with spaces, words of Han characters) of the table, in lower case; None if it has more than MAX_WORDS."""
+    rows = common_words.select(F.lower(F.trim("word")).alias("w")).where("length(w) > 0").distinct().select("w", _han(F.col("w")).alias("h")).limit(MAX_WORDS + 1).collect()
     if len(rows) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} common words; join them instead")
-    words = sorted(r["w"] for r in rows)
-    han = [w for w in words if any("㐀" <= c <= "鿿" for c in w)]
-    return [w for w in words if w not in set(han)], han
+        return None
+    return sorted(r["w"] for r in rows if not r["h"]), sorted(r["w"] for r in rows if r["h"])
 
 
-def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, n_lines, *FEATURES) of every row.
+def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(id, n_lines, *features) of every row; n_lines counts lines that aren't blank. Only what the features need is worked out.
 
     A word is a run of letters and marks; each Han character counts as a word of its own. common_share: of words, those in the table
     (for Han, of characters those in a common word). prose_share: of characters, those in lines with enough common words.
+    A table of common words beyond MAX_WORDS isn't put into the plan: the words of the texts are joined with it, to the same result
+    (there each run of Han characters is looked through for words of the table by their lengths).
     """
-    spaced, han = word_lists(common_words)
-    han_pattern = "|".join(sorted(han, key=lambda w: (-len(w), w))) or "(?!)"
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?|\u2028|\u0085", "\n")
-    a = df.select(F.col(id_col).alias("__id"), text.alias("t")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.trim(x)) > 0))
-    # one struct per line, in two steps, so that the words of a line are looked for once only
-    cut = F.transform("lines", lambda x: F.struct(x.alias("x"), F.length(x).alias("n"), F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{M}&&[^\p{IsHan}]]+"), F.lit(0)).alias("w"), F.when(x.rlike(r"\p{IsHan}"), F.length(x) - F.length(F.regexp_replace(x, r"\p{IsHan}+", ""))).otherwise(0).alias("h")))
-    a = a.withColumn("cut", cut)
-
-    def common(words: Column) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(spaced))) if spaced else F.lit(0)
-
-    def told(x: Column) -> Column:
-        chars = F.aggregate(x["w"], F.lit(0), lambda n, w: n + F.length(w))
-        han_common = F.when(x["h"] > 0, F.length(x["x"]) - F.length(F.regexp_replace(x["x"], han_pattern, ""))).otherwise(0)
-        return F.struct(x["n"].alias("n"), F.size(x["w"]).alias("w"), common(x["w"]).alias("c"), chars.alias("l"), x["h"].alias("h"), han_common.alias("hc"), x["x"].rlike(f"[{ENDS}][\"')”’»]*\\s*$").alias("end"), x["x"].rlike(LIST_MARK).alias("item"), x["x"].rlike(CELLS).alias("cell"))
+    if "common_share" in features or "prose_share" in features:
+        lists = word_lists(common_words)
+        if lists is None:
+            return _joined(df, common_words, id_col, text_col, features)
+        spaced, han = lists
+    else:
+        spaced, han = [], []
+    han_pattern = _patterns(han) or "(?!)"
+    a = df.select(F.col(id_col).alias("__id"), text.alias("t"))
+    size, n_lines = F.length("t"), F.regexp_count("t", F.lit(r"\S[^\n]*+"))
+    words, n_words, shown = F.col("w"), F.size("w") + F.col("h"), F.col("n_shown")
+
+    def left(pattern: str, of: Column) -> Column:
+        """How many characters the matches of a pattern hold."""
+        return F.length(of) - F.length(F.regexp_replace(of, pattern, ""))
+
+    def common(found: Column) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(spaced))) if spaced else F.lit(0)
+
+    def common_han(of: Column, n: Column) -> Column:
+        return F.when(n > 0, left(han_pattern, of)).otherwise(0)
+
+    def prose_chars() -> Column:
+        def told(x: Column) -> Column:
+            found = F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
+            h = F.when(x.rlike(r"\p{IsHan}"), left(r"\p{IsHan}+", x)).otherwise(0)
+            return F.struct(F.length(x).alias("n"), F.size(found).alias("w"), common(found).alias("c"), h.alias("h"), common_han(x, h).alias("hc"))
+
+        def prose(x: Column) -> Column:
+            return ((x["c"] * 5 >= x["w"]) & (x["c"] > 0) & (x["w"] > 1)) | ((x["h"] > 3) & (x["hc"] * 5 >= x["h"]))
+
+        return F.aggregate(F.transform(F.split("t", "\n"), told), F.lit(0), lambda n, x: n + F.when(prose(x), x["n"]).otherwise(0))
+
+    parts = F.col("parts")
+    made = {
+        "n_words": lambda: n_words.cast("long"),
+        "mean_word_len": lambda: _ratio(F.length(F.array_join(words, "")) + F.col("h"), n_words),
+        "symbol_ratio": lambda: _ratio(left(r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。，、；：！？“”‘’（）-]+", F.col("t")), size),
+        "digit_ratio": lambda: _ratio(left("[0-9]+", F.col("t")), size),
+        "end_punct_share": lambda: _ratio(F.regexp_count("t", F.lit(f"(?m)[{ENDS}][\"')”’»]*[^\\S\\n]*$")), F.col("n_lines")),
+        "common_share": lambda: _ratio(common(words) + common_han(F.col("t"), F.col("h")), n_words),
+        "prose_share": lambda: _ratio(prose_chars(), shown),
+        "list_share": lambda: _ratio(left(f"(?m)^[^\\S\\n]*(?:{LIST_MARK})[^\\n]*", F.col("t")), shown),
+        "cell_share": lambda: _ratio(left(f"(?m)^[^\\n]*?(?:{CELLS})[^\\n]*", F.col("t")), shown),
+        "repeat_share": lambda: _ratio(F.length(F.array_join(parts, "")) - F.length(F.array_join(F.array_distinct(parts), "")), F.length(F.array_join(parts, ""))),
+        "words_per_line": lambda: _ratio(n_words, F.col("n_lines")),
+    }
+    a = a.withColumn("n_lines", n_lines)
+    if set(features) & {"n_words", "mean_word_len", "common_share", "words_per_line"}:
+        a = a.withColumn("w", F.regexp_extract_all(F.lower("t"), F.lit(WORD), F.lit(0))).withColumn("h", F.when(F.col("t").rlike(r"\p{IsHan}"), left(r"\p{IsHan}+", F.col("t"))).otherwise(0))
+    if set(features) & {"prose_share", "list_share", "cell_share"}:
+        a = a.withColumn("n_shown", F.length(F.translate("t", "\n", "")))
+    if "repeat_share" in features:
+        a = a.withColumn("parts", F.filter(F.split("t", r"(?<=[.!?。！？])|\n"), lambda x: F.length(x) > 12))
+    # explode of one element: filters on what follows must not be pushed below, where they'd repeat the work for each mention
+    told = a.select("__id", F.explode(F.array(F.struct("n_lines", *[made[f]().alias(f) for f in features]))).alias("f"))
+    return told.select(F.col("__id").alias(id_col), "f.*")
 
-    a = a.withColumn("told", F.transform("cut", told))
-    names = ("n", "w", "c", "l", "h", "hc", "ends", "items", "cells", "prose")
 
-    def add(s: Column, x: Column) -> Column:
-        prose = ((x["c"] * 5 >= x["w"] + 0) & (x["c"] > 0) & (x["w"] > 1)) | ((x["h"] > 3) & (x["hc"] * 5 >= x["h"]))
-        grows = {"n": x["n"], "w": x["w"], "c": x["c"], "l": x["l"], "h": x["h"], "hc": x["hc"], "ends": x["end"].cast("int"), "items": F.when(x["item"], x["n"]).otherwise(0), "cells": F.when(x["cell"], x["n"]).otherwise(0), "prose": F.when(prose, x["n"]).otherwise(0)}
-        return F.struct(*[(s[k] + grows[k]).alias(k) for k in names])
+def _joined(df: DataFrame, common_words: DataFrame, id_col: str, text_col: str, features: tuple[str, ...]) -> DataFrame:
+    """`statistics` with a table of common words of any size: words counted by line are joined with it, for Han all cuts of a line of the table's lengths.
 
-    a = a.withColumn("s", F.aggregate("told", F.struct(*[F.lit(0).alias(k) for k in names]), add))
-    # explode of one element: filters on what follows must not be pushed below, where they'd repeat the work for each mention
-    a = a.select("__id", "t", F.size("told").alias("n_told"), F.explode(F.array("s")).alias("s"))
-    a = a.withColumn("parts", F.filter(F.split("t", r"(?<=[.!?。！？])|\n"), lambda x: F.length(x) > 12))
-    s = {k: F.col("s")[k] for k in names}
-    n_words = s["w"] + s["h"]
-    made = a.select(
-        "__id",
-        F.explode(F.array(F.struct(
-        F.length("t").cast("long").alias("n_chars"),
-        F.col("n_told").alias("n_lines"),
-        n_words.cast("long").alias("n_words"),
-        _ratio(s["l"] + s["h"], n_words).alias("mean_word_len"),
-        _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()。，、；：！？“”‘’（）-]+", "")), F.length("t")).alias("symbol_ratio"),
-        _ratio(F.length("t") - F.length(F.regexp_replace("t", r"[0-9]+", "")), F.length("t")).alias("digit_ratio"),
-        _ratio(s["ends"], F.col("n_told")).alias("end_punct_share"),
-        _ratio(s["c"] + s["hc"], n_words).alias("common_share"),
-        _ratio(s["prose"], s["n"]).alias("prose_share"),
-        _ratio(s["items"], s["n"]).alias("list_share"),
-        _ratio(s["cells"], s["n"]).alias("cell_share"),
-        _ratio(_chars(F.col("parts")) - _chars(F.array_distinct("parts")), _chars(F.col("parts"))).alias("repeat_share"),
-        _ratio(n_words, F.col("n_told")).alias("words_per_line"),
-        ))).alias("f"),
-    )
-    return made.select(F.col("__id").alias(id_col), "f.*")
+    Texts go by id and digest, so that repeated rows count once here and are joined again.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), digest.alias("__key"))
+    known = common_words.select(F.lower(F.trim("word")).alias("word")).where("length(word) > 0").distinct()
+    han = known.where(_han(F.col("word")))
+    # a column of the plan, not a collection of words: how long words of Han can be
+    lengths = han.agg(F.sort_array(F.collect_set(F.length("word"))).alias("lengths"))
+    text = F.regexp_replace(F.coalesce(F.col("__text"), F.lit("")), r"\r\n?|\u2028|\u0085", "\n")
+    lines = keyed.dropDuplicates(["__id", "__key"]).select("__id", "__key", F.posexplode(F.split(text, "\n")).alias("k", "x"))
+    h = F.when(F.col("x").rlike(r"\p{IsHan}"), F.length("x") - F.length(F.regexp_replace("x", r"\p{IsHan}+", ""))).otherwise(0)
+    lines = lines.withColumn("h", h).withColumn("w", F.regexp_extract_all(F.lower("x"), F.lit(WORD), F.lit(0)))
+    at = ["__id", "__key", "k"]
+    spaced = lines.select(*at, F.explode("w").alias("word")).groupBy(*at, "word").count().join(known.where(~_han(F.col("word"))), "word").groupBy(*at).agg(F.sum("count").alias("c"))
+    cuts = lines.where("h > 0").crossJoin(F.broadcast(lengths)).select(*at, "x", F.explode("lengths").alias("n")).where("n <= length(x)").select(*at, "x", "n", F.explode(F.expr("sequence(1, length(x) - n + 1)")).alias("i")).select(*at, "n", "i", F.expr("substring(x, i, n)").alias("word"))
+    matches = cuts.join(han, "word").groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("i", (-F.col("n")).alias("n")))).alias("m"))
+    # from the left, the longest first, none over another
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hc"))
+    taken = F.aggregate("m", start, lambda s, m: F.when(m["i"] > s["end"], F.struct((m["i"] - m["n"] - 1).alias("end"), (s["hc"] - m["n"]).alias("hc"))).otherwise(s))
+    matches = matches.select(*at, taken["hc"].alias("hc"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in at]
+    told = lines.alias("l").join(spaced.alias("r"), on, "left").select("l.*", F.coalesce("c", F.lit(0)).alias("c"))
+    told = told.alias("l").join(matches.alias("r"), on, "left").select("l.*", F.coalesce("hc", F.lit(0)).alias("hc"))
+    n_words = F.size("w") + F.col("h")
+    prose = ((F.col("c") * 5 >= F.size("w")) & (F.col("c") > 0) & (F.size("w") > 1)) | ((F.col("h") > 3) & (F.col("hc") * 5 >= F.col("h")))
+    sums = told.groupBy("__id", "__key").agg(
+        _ratio(F.sum(F.col("c") + F.col("hc")), F.sum(n_words)).alias("common_share"), _ratio(F.sum(F.when(prose, F.length("x")).otherwise(0)), F.sum(F.length("x"))).alias("prose_share")
+    )
+    wanted = {"common_share", "prose_share"} & set(features)
+    rest = statistics(keyed.select(F.struct("__id", "__key").alias("__both"), "__text"), common_words, "__both", "__text", tuple(f for f in features if f not in wanted))
+    both = rest.select(F.col("__both.__id").alias("__id"), F.col("__both.__key").alias("__key"), "n_lines", *(f for f in features if f not in wanted)).alias("l").join(sums.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in at[:2]])
+    return both.select(F.col("l.__id").alias(id_col), "n_lines", *features)
 
 
 @dataclass(frozen=True)
@@ -196,9 +252,27 @@ def junk(rules: list[Rule]) -> Column:
     return F.lit(False) if out is None else out.otherwise(False)
 
 
+def named(rules: list[Rule]) -> tuple[str, ...]:
+    """The statistics that rules ask for."""
+    return tuple(f for f in FEATURES if any(c.feature == f for r in rules for c in r))
+
+
+def rules_of(documents: DataFrame, labels: DataFrame, common_words: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
+    """The rules learned on the labelled documents, whose statistics are the only ones worked out here."""
+    known = labels.select("doc_id").where("label is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_labels)
+    return train(statistics(documents.join(F.broadcast(known), "doc_id", "left_semi"), common_words), labels, max_labels)
+
+
+def _told(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    return stats.withColumn("is_prose", F.when(F.col("n_lines") > 0, ~junk(rules)))
+
+
 def classify(documents: DataFrame, labels: DataFrame, common_words: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """The statistics of every document with is_prose: not covered by a rule. Blank texts: null."""
-    stats = statistics(documents, common_words)
-    labelled = statistics(documents.join(F.broadcast(labels.select("doc_id").where("label is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_labels)), "doc_id", "left_semi"), common_words)
-    rules = train(labelled, labels, max_labels)
-    return stats.withColumn("is_prose", F.when(F.col("n_lines") > 0, ~junk(rules)))
+    return _told(statistics(documents, common_words), rules_of(documents, labels, common_words, max_labels))
+
+
+def found(documents: DataFrame, labels: DataFrame, common_words: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(doc_id) of the documents that aren't prose, as `classify` tells; of the statistics only those that the rules name are worked out."""
+    rules = rules_of(documents, labels, common_words, max_labels)
+    return _told(statistics(documents, common_words, features=named(rules)), rules).where("not is_prose").select("doc_id")

@@ -55,7 +55,21 @@ def test_learner_prunes_noise():
     assert (hit == (x["a"] < 0.3)).mean() > 0.95
 
 
-def test_too_many_words(spark, monkeypatch, tables):
+def test_words_joined_beyond_the_bound(spark, monkeypatch):
+    words = spark.createDataFrame([("en", w, 1) for w in COMMON] + [("zh", w, 1) for w in ("的", "我们", "们的", "我们的", "T恤")] + [(None, None, None)], "lang string, word string, word_rank int")
+    docs = spark.createDataFrame([(1, "The cat is on it.\n我们的猫和们的T恤 of x\nzzz"), (1, "The cat is on it.\n我们的猫和们的T恤 of x\nzzz"), (2, None), (None, "of the 的"), (3, "")], "doc_id long, text string")
+    names = ["doc_id", *Q.FEATURES]
+    key = lambda r: str(r)
+    plain = sorted((tuple(r) for r in Q.statistics(docs, words).select(names).collect()), key=key)
     monkeypatch.setattr(Q, "MAX_WORDS", 3)
-    with pytest.raises(ValueError):
-        Q.word_lists(tables[2])
+    assert sorted((tuple(r) for r in Q.statistics(docs, words).select(names).collect()), key=key) == plain
+
+
+def test_found_is_what_classify_tells(tables):
+    told = {r["doc_id"] for r in Q.classify(*tables).where("not is_prose").collect()}
+    assert {r["doc_id"] for r in Q.found(*tables).collect()} == told and told
+
+
+def test_only_named_statistics(spark, tables):
+    made = Q.statistics(tables[0], tables[2], features=("digit_ratio",))
+    assert made.columns == ["doc_id", "n_lines", "digit_ratio"] and made.count() == tables[0].count()
