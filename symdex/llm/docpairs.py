@@ -1,8 +1,9 @@
 """Problem 2: functions with the description in their documentation comment.
 
-Per file, comments and the lines where functions start are matched as a bipartite assignment. Only a comment directly above (but
-for attributes of Rust) that is documentation in the language is plausible, so a line has one candidate at most and the assignment decides
-nothing; functions that start on one line share its comment. In Python the docstring is in the function's own code, so its link is certain.
+Per file, comments and functions are matched as a bipartite assignment. What links are plausible follows from what documentation is in each language:
+comments directly above, one on the other, but for attributes of Rust. Their cost is made of distance, parameter tags and names, so these decide
+where comments are stacked or several functions start on a line; mostly a function has one candidate. In Python the docstring is in the function's own code,
+so its link is certain.
 
 Functions of files that aren't in the source table can only have docstrings. Null contents give no rows; repeated rows
 of a chunk or a file count once. Lines of chunks are those of the file with line ends made uniform.
@@ -86,16 +87,18 @@ def _attributes_above(lines: list[str], start: int) -> int:
     """The first line of the attributes that stand directly above line `start` (1-based), or start."""
     at = start
     while at > 1:
-        k = at - 1
-        s = lines[k - 1].strip()
-        if s.endswith("]") and not s.startswith("//"):
-            low = k
-            while low > 1 and not lines[low - 1].lstrip().startswith("#") and k - low < 12:
-                low -= 1
-            if lines[low - 1].lstrip().startswith(("#[", "#![")):
-                at = low
-                continue
-        break
+        low, depth = at - 1, 0
+        if not lines[low - 1].rstrip().endswith("]") or lines[low - 1].lstrip().startswith("//"):
+            break
+        # up to where the brackets of an attribute of several lines close
+        while not lines[low - 1].lstrip().startswith("#"):
+            depth += lines[low - 1].count("]") - lines[low - 1].count("[")
+            if depth <= 0 or low == 1:
+                break
+            low -= 1
+        if not lines[low - 1].lstrip().startswith(("#[", "#![")):
+            break
+        at = low
     return at
 
 
@@ -139,15 +142,42 @@ def name_parts(symbol: str) -> list[str]:
     return [p.lower() for p in _PARTS.findall(symbol or "")]
 
 
+_PARAM = re.compile(r"[@\\]param(?:\[\w+\])?\s+(?:\{[^}]*\}\s*)?(?:<[^>]*>\s*)?\[?\.{0,3}([A-Za-z_$][\w$]*)|^\s*[*-]\s+`([A-Za-z_]\w*)`", re.M)
+_IDENT = re.compile(r"[A-Za-z_$][\w$]*")
+#: What a link costs: each documentation comment between, all parameter tags naming other parameters; what mentioning the name saves; and what leaves a function unlinked.
+FURTHER, STRANGE, NAMED, UNLINKED = 1.0, 1.5, 0.25, 3.0
+
+
+def cost(comment: Comment, between: int, symbol: str, signature: str | None) -> float:
+    """Of linking a comment to a function: by distance, by parameter tags the signature doesn't have, by the function's name in the text."""
+    tags = {a or b for a, b in _PARAM.findall(comment.text)}
+    known = set(_IDENT.findall((signature or "").partition("(")[2]))
+    strange = len(tags - known) / len(tags) if tags and known else 0.0
+    named = bool(symbol) and re.search(rf"(?<!\w){re.escape(symbol)}(?!\w)", comment.text) is not None
+    return FURTHER * between + STRANGE * strange - NAMED * named
+
+
 def link(lines: list[str], language: str, functions: list[tuple[int, str, str | None]]) -> list[str | None]:
-    """The documentation comment of each function (start line, symbol, signature) of a file, or None."""
+    """The documentation comment of each function (start line, symbol, signature) of a file, or None.
+
+    Candidates of a function are the documentation comments that stand above it one on the other, without a blank line. Which functions get which comments is
+    the assignment of least total cost, an unlinked function costing UNLINKED. Functions of one line with fewer comments than functions share the cheapest.
+    """
     comments = _blocks(lines, language)
-    # what documents a function ends on the line above it, and on one line ends one comment
     ending = {c.last: k for k, c in enumerate(comments) if c.documents}
     tops = [_attributes_above(lines, start) if language == "rust" else start for start, _, _ in functions]
-    places = sorted(set(tops))
-    given = dict(zip(places, assign([{ending[p - 1]: 1.0} if p - 1 in ending else {} for p in places])))
-    return [comments[given[t]].text if given[t] is not None else None for t in tops]
+    costs: list[dict[int, float]] = []
+    for top, (_, symbol, signature) in zip(tops, functions):
+        found: dict[int, float] = {}
+        above = top - 1
+        while (k := ending.get(above)) is not None and FURTHER * len(found) - NAMED < UNLINKED:
+            price = cost(comments[k], len(found), symbol, signature)
+            found[k] = min(price, UNLINKED + len(found))
+            above = comments[k].first - 1
+        costs.append({k: c for k, c in found.items() if c < UNLINKED})
+    given = assign(costs)
+    cheapest = [min(c, key=lambda k: (c[k], k)) if c else None for c in costs]
+    return [comments[k].text if (k := g if g is not None else c) is not None else None for g, c in zip(given, cheapest)]
 
 
 def docstring(content: str) -> str | None:

@@ -33,6 +33,22 @@ def test_functions_of_one_line_share_the_comment():
     assert D.link(js, "other", [(2, "left", None), (2, "right", None), (5, "stop", None)]) == ["Turns left and right.", "Turns left and right.", None]
 
 
+def test_tags_names_and_distance_decide_contested_comments():
+    js = ["/** Adds up the total. @param a one */", "/** Takes it away again. @param b two */", "function add(a) {} function sub(b) {}"]
+    assert D.link(js, "other", [(3, "add", "add(a)"), (3, "sub", "sub(b)")]) == ["Adds up the total. @param a one", "Takes it away again. @param b two"]
+    assert D.link(js, "other", [(3, "sub", "sub(b)"), (3, "add", "add(a)")]) == ["Takes it away again. @param b two", "Adds up the total. @param a one"]
+    assert D.link(js, "other", [(3, "sub", "sub(b)")]) == ["Takes it away again. @param b two"]  # the nearest of a stack
+    assert D.link(js, "other", [(3, "add", "add(a)")]) == ["Adds up the total. @param a one"]  # tags of other parameters outweigh a step
+    named = ["/** What start does here. */", "/** What halt does here. */", "const halt = () => 1, start = () => 2"]
+    assert D.link(named, "other", [(3, "halt", None), (3, "start", None)]) == ["What halt does here.", "What start does here."]
+    assert D.link(["/** Far off. */", "/* no doc */", "f()"], "other", [(3, "f", None)]) == [None]
+
+
+def test_long_attributes():
+    rust = ["/// Says a thing.", "#[derive("] + [f"    A{i}," for i in range(40)] + [")]", "fn a() {}"]
+    assert D.link(rust, "rust", [(len(rust), "a", None)]) == ["Says a thing."]
+
+
 def test_assignment_prefers_the_cheapest_whole():
     assert D.assign([{0: 1.0, 1: 2.0}, {0: 1.5}, {}]) == [1, 0, None]
 
