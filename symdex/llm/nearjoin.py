@@ -36,6 +36,9 @@ PIVOTS = 32
 LEVELS = 4
 WHOLE_CLASS = 16  # up to so many byte-equal copies are paired with each other; of more each with the first of them
 BROADCAST_IDS = 100_000
+SAMPLE = 64  # one text of so many tells which runs are so frequent that their rows must be spread over tasks
+SPREAD, HOT = 64, 1 << 62  # over so many parts; the bit of a row's place that marks it
+MOST_COLLISIONS = 10_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -100,7 +103,12 @@ def least_shared(m: int, n: int, t: float) -> int:
     return math.ceil(t / (1 + t) * (m + n) - 1e-9)
 
 
-def members(df: DataFrame) -> DataFrame:
+def _short(digest: bytes, collided: frozenset[bytes]) -> int:
+    """A class's short name: half of its digest, the other half for the few classes that share their first half."""
+    return int.from_bytes(digest[8:] if digest in collided else digest[:8], "little", signed=True)
+
+
+def members(df: DataFrame, collided: frozenset[bytes] = frozenset()) -> DataFrame:
     """(key, text_key, id, body) once for each row id of (id, content) with enough tokens; key is the class's short name, body a digest of the content as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +121,13 @@ def members(df: DataFrame) -> DataFrame:
                     ids.append(i)
                     whole.append(digest)
                     bodies.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
-                    keys.append(int.from_bytes(digest[:8], "little", signed=True))
+                    keys.append(_short(digest, collided))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(whole, pa.binary()), pa.array(ids, pa.string()), pa.array(bodies, pa.binary())], ["key", "text_key", "id", "body"])
 
     return df.mapInArrow(run, "key bigint, text_key binary, id string, body binary").groupBy("key", "text_key", "id").agg(F.min("body").alias("body"))
 
 
-def prefixes(df: DataFrame, t: float) -> DataFrame:
+def prefixes(df: DataFrame, t: float, collided: frozenset[bytes] = frozenset()) -> DataFrame:
     """(run, key, place) for the runs of each text's prefix; place holds size, position and whether it is one of the first that suffice for the shorter text of a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +138,7 @@ def prefixes(df: DataFrame, t: float) -> DataFrame:
                 tokens = TOKEN.findall(text)
                 if len(tokens) < LEAST_TOKENS:
                     continue
-                key = int.from_bytes(_text_key(tokens)[:8], "little", signed=True)
+                key = _short(_text_key(tokens), collided)
                 if key in seen:
                     continue
                 if len(seen) > 200_000:
@@ -171,10 +179,28 @@ def _pairs_of(runs: np.ndarray, keys: np.ndarray, place: np.ndarray, t: float, s
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64),) * 2
 
 
+def frequent(sampled: DataFrame, bucket: int) -> list[int]:
+    """Of the rows of one text in SAMPLE, the runs that stand for some 16 buckets of texts or more, the most frequent first, BROADCAST_IDS at most.
+
+    This decides only where rows go, not what is found: the rows of a run that isn't told here pass one task as a stream.
+    """
+    n = sampled.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") >= max(64, 16 * bucket // SAMPLE))
+    return [r["run"] for r in n.orderBy(F.desc("n"), "run").limit(BROADCAST_IDS).collect()]
+
+
+def marked(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """The rows with the HOT bit set in the place of those of frequent runs."""
+    if not hot:
+        return rows
+    known = rows.sparkSession.createDataFrame([(r,) for r in hot], "run long").withColumn("hot", F.lit(HOT))
+    return rows.join(F.broadcast(known), "run", "left").select("run", "key", F.col("place").bitwiseOR(F.coalesce("hot", F.lit(0))).alias("place"))
+
+
 def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataFrame:
     """(a, b, run): pairs of classes to verify, run null; and of runs with more than `bucket` classes a row (key, place, run) each.
 
-    The rows of a task are sorted and pass as a stream; only up to `bucket` rows are held at a time.
+    The rows of a task are sorted and pass as a stream; only up to `bucket` rows are held at a time. Rows marked as those of a frequent
+    run are spread over SPREAD parts and all given out as such.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +212,10 @@ def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataF
         for b in batches:
             r, k, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             r, k, p = np.concatenate([held_r, r]), np.concatenate([held_k, k]), np.concatenate([held_p, p])
+            known = p >= HOT
+            if known.any():
+                yield batch(k[known], p[known] ^ HOT, r[known])
+                r, k, p = r[~known], k[~known], p[~known]
             if not r.size:
                 continue
             keep = np.ones(r.size, bool)
@@ -215,7 +245,8 @@ def candidates(rows: DataFrame, t: float, bucket: int, shared: int = 1) -> DataF
             x, y = _pairs_of(held_r, held_k, held_p, t, shared)
             yield batch(x, y, None)
 
-    parts = rows.repartition("run").sortWithinPartitions("run", "key")
+    part = F.when(F.col("place") >= HOT, F.pmod(F.xxhash64("key"), F.lit(SPREAD))).otherwise(0)
+    parts = rows.repartition("run", part).sortWithinPartitions("run", "key")
     return parts.mapInArrow(run, "a bigint, b bigint, run bigint")
 
 
@@ -344,9 +375,10 @@ def deepen(hot: DataFrame, texts: DataFrame, t: float, shared: int) -> DataFrame
     return hot.join(texts, "key").select("run", "key", "place", "content").mapInArrow(run, "run bigint, key bigint, place bigint")
 
 
-def class_pairs(df: DataFrame, firsts: DataFrame, t: float = THRESHOLD, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
+def class_pairs(df: DataFrame, firsts: DataFrame, t: float = THRESHOLD, bucket: int = BUCKET, depth: int = DEPTH, collided: frozenset[bytes] = frozenset()) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of classes of df(id, content) at similarity t or more; firsts is (key, id)."""
-    rows, pairs, hot = prefixes(df, t), None, None
+    some = prefixes(df.where(F.pmod(F.xxhash64("content"), F.lit(SAMPLE)) == 0), t, collided)
+    rows, pairs, hot = marked(prefixes(df, t, collided), frequent(some, bucket)), None, None
     for shared in range(1, depth + 1):
         found = cut(candidates(rows, t, bucket, shared))
         got = found.where("run is null").select("a", "b")
@@ -357,7 +389,9 @@ def class_pairs(df: DataFrame, firsts: DataFrame, t: float = THRESHOLD, bucket:
             break
         hot = cut(hot)
         texts = _contents(df, firsts.join(hot.select("key").distinct(), "key", "left_semi"))
-        rows = deepen(hot, texts, t, shared + 1)
+        if shared < depth:
+            some = deepen(hot.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0), texts, t, shared + 1)
+            rows = marked(deepen(hot, texts, t, shared + 1), frequent(some, bucket))
     pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     content = cut(_contents(df, firsts.join(wanted, "key", "left_semi")))
@@ -376,9 +410,20 @@ def class_pairs(df: DataFrame, firsts: DataFrame, t: float = THRESHOLD, bucket:
 
 
 def _classes(df: DataFrame):
+    """(members, (key, first id, copies) of each class, classes whose short names would collide)."""
     who = cut(members(df))
-    stats = who.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    return who, cut(stats)
+    collided: frozenset[bytes] = frozenset()
+    stats = cut(who.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("text_key").alias("low"), F.max("text_key").alias("high")))
+    same = stats.where("low != high")
+    if not same.isEmpty():
+        # a chance of 2^-64 for two classes: a handful at any size
+        rows = who.join(same.select("key"), "key", "left_semi").select("text_key").distinct().limit(MOST_COLLISIONS + 1).collect()
+        if len(rows) > MOST_COLLISIONS:
+            raise ValueError("digests collide more often than can be by chance")
+        collided = frozenset(bytes(r["text_key"]) for r in rows)
+        who = cut(members(df, collided))
+        stats = cut(who.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    return who, stats.select("key", "first", "copies"), collided
 
 
 def source(chunks: DataFrame) -> DataFrame:
@@ -392,8 +437,8 @@ def similar(df: DataFrame, t: float = THRESHOLD, bucket: int = BUCKET) -> DataFr
     WHOLE_CLASS ids have byte by byte: there each copy is paired with the first id, which alone stands for them towards
     others (`groups` tells all members). Texts that differ in layout are no such copies.
     """
-    who, stats = _classes(df)
-    near = class_pairs(df, stats.select("key", F.col("first").alias("id")), t, bucket)
+    who, stats, collided = _classes(df)
+    near = class_pairs(df, stats.select("key", F.col("first").alias("id")), t, bucket, collided=collided)
     equal = who.groupBy("key", "body").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     known = cut(who.join(equal, ["key", "body"]))
     stands = known.where((F.col("copies") <= WHOLE_CLASS) | (F.col("id") == F.col("first"))).select("key", "id")
@@ -411,8 +456,8 @@ def groups(df: DataFrame, t: float = THRESHOLD, bucket: int = BUCKET) -> DataFra
     Groups are connected components over classes, found by passing on the least label and jumping to the label's label.
     n_links counts the other classes within the threshold.
     """
-    who, stats = _classes(df)
-    near = cut(class_pairs(df, stats.select("key", F.col("first").alias("id")), t, bucket))
+    who, stats, collided = _classes(df)
+    near = cut(class_pairs(df, stats.select("key", F.col("first").alias("id")), t, bucket, collided=collided))
     named = stats.select("key", "first")
     edges = near.select("a", "b").join(named.select(F.col("key").alias("a"), F.col("first").alias("u")), "a").join(named.select(F.col("key").alias("b"), F.col("first").alias("v")), "b").select("u", "v")
     edges = cut(edges.union(edges.select("v", "u")).toDF("u", "v"))

@@ -48,6 +48,39 @@ def test_crowded_runs_go_deeper(spark):
     assert found(spark, rows, bucket=8) == brute(rows)
 
 
+def test_frequent_runs_are_spread_over_tasks(spark, monkeypatch):
+    head = [f"LongSharedNameOfAll{k}" for k in range(5)]
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(65)]
+        rows += [(f"c{i:03d}a", " ".join(head + base)), (f"c{i:03d}b", " ".join(head + base[:-3] + ["x", str(i)]))]
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    df = spark.createDataFrame(rows, "id string, content string")
+    first = N.prefixes(df, 0.7)
+    hot = N.frequent(first, 4)
+    assert len(hot) >= 2 and found(spark, rows, bucket=4) == brute(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = N.candidates(N.marked(first, hot), 0.7, 4).where("run is not null").withColumn("task", F.spark_partition_id())
+        one = out.where(F.col("run") == hot[0]).groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in one) == 80 and max(r["count"] for r in one) < 40  # all rows of the run, in several tasks
+
+
+def test_classes_whose_short_names_collide(spark, monkeypatch):
+    rows = corpus(20, seed=3)
+    real = N.members
+
+    def colliding(df, collided=frozenset()):
+        who = real(df, collided)
+        return who if collided else who.withColumn("key", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(N, "members", colliding)
+    assert found(spark, rows) == brute(list(dict(rows).items()))
+
+
 def test_voronoi_loses_no_pair(spark):
     rng = random.Random(5)
     rows = []
