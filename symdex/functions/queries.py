@@ -6,6 +6,8 @@ import json
 import re
 from pathlib import Path
 
+import numpy as np
+
 from .text import CJK_RANGES, FOLD_FROM, FOLD_TO
 
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -120,6 +122,36 @@ def expand_query(query: str, custom: dict[str, list[str]] | None = None, max_exp
     return f"{query} {' '.join(added)}" if added else query
 
 
+def vocabulary(clusters: str = CLUSTERS) -> list[str]:
+    """All words of the clusters in order, each once: what an embedding looks for synonyms among."""
+    return list(dict.fromkeys(clusters.split()))
+
+
+def embedded(embed, words: list[str] | None = None, threshold: float = 0.75, most: int = 3):
+    """A `nearest` for `expand_query` from a model embed(list of texts) -> vectors: the words most similar to the one asked for.
+
+    The vectors of the vocabulary are made when first asked for. Words already in the query are passed over; ties go by place in the vocabulary.
+    """
+    known: dict = {}
+
+    def unit(texts: list[str]) -> np.ndarray:
+        m = np.asarray(list(embed(texts)), float)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def nearest(word: str, seen: set[str]) -> list[tuple[str, float]]:
+        if not known:
+            known["words"] = vocabulary() if words is None else list(words)
+            known["vectors"] = unit(known["words"]) if known["words"] else None
+        if known["vectors"] is None:
+            return []
+        near = known["vectors"] @ unit([word])[0]
+        order = [i for i in np.argsort(-near, kind="stable") if near[i] >= threshold and known["words"][i] not in seen]
+        return [(known["words"][i], float(near[i])) for i in order[:most]]
+
+    return nearest
+
+
 def load_synonyms(path: str | Path) -> dict[str, list[str]] | None:
     """Synonyms of a YAML or JSON file; entries that aren't lists of strings are left out, None if nothing remains."""
     try:

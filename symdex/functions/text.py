@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,20 @@ CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x
 CJK = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
-#: Latin letters with marks, and what the index's tokenizer folds them to.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark, and what they are without it, by canonical decomposition."""
+    found = {}
+    for code in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00)):
+        c = chr(code)
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) == 2 and parts[0].isascii() and unicodedata.category(parts[1]) == "Mn":
+            found[c] = parts[0]
+    return "".join(found), "".join(found.values())
+
+
+FOLD_FROM, FOLD_TO = _folds()
 #: File suffixes of the languages.
 SUFFIXES = {"python": ".py", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx .mts .cts", "go": ".go", "rust": ".rs", "java": ".java"}
 
@@ -111,6 +123,20 @@ def module_name(path: Column) -> Column:
     return F.replace(F.regexp_replace(bare, r"^(src|lib|app|pkg)/", ""), F.lit("/"), F.lit("."))
 
 
+def is_private(symbol: Column, language: Column) -> Column:
+    """By the naming rule of the language: a leading underscore, in Go a small first letter, in Rust any but a capital; never in Java, nor without a name."""
+    first = F.substring(symbol, 1, 1)
+    capital, small = first != F.lower(first), first != F.upper(first)
+    rule = F.when(language == "go", small).when(language == "rust", ~capital | (F.length(symbol) == 0)).when(language == "java", False).otherwise(symbol.startswith("_"))
+    return F.coalesce(rule, F.lit(False))
+
+
+def is_async(signature: Column, language: Column) -> Column:
+    """Whether a signature has the language's async keyword; Go and Java have none."""
+    has = signature.rlike(r"(?:^|[\s@])async\s+(?:def|function|fn|unsafe|extern|with|for|[\w$#\[*])")
+    return F.coalesce(F.when(language.isin("go", "java"), False).otherwise(has), F.lit(False))
+
+
 def import_candidate(c: Column) -> Column:
     """The stem of an import that is a path, any other as it is."""
     return F.when(c.rlike(r"[/\\]"), F.regexp_replace(F.regexp_extract(c, r"([^/\\]+)[/\\]*$", 1), r"(?<=.)\.[^.]+$", "")).otherwise(c)

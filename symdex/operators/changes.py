@@ -47,3 +47,17 @@ def islands(df: DataFrame, key: str, order: list, compound: Column) -> DataFrame
     start = df.withColumn("__c", compound).withColumn("__s", (F.col("__c") | F.coalesce(F.lag("__c").over(w), F.lit(True))).cast("int"))
     numbered = start.withColumn("block", (F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
     return numbered.withColumn("blocks", (F.max("block").over(Window.partitionBy(key)) + 1).cast("int")).drop("__c", "__s")
+
+
+def to_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as flat rows: imports as a JSON array, '' for a parent or docstring that is null."""
+    empty = F.array().cast("array<string>")
+    flat = {"imports": F.to_json(F.coalesce("imports", empty)), "parent_class": F.coalesce("parent_class", F.lit("")), "docstring": F.coalesce("docstring", F.lit(""))}
+    return chunks.withColumns(flat)
+
+
+def from_rows(rows: DataFrame) -> DataFrame:
+    """Chunks from flat rows, null for '' and an empty list for no or broken imports."""
+    empty = F.array().cast("array<string>")
+    made = {"imports": F.coalesce(F.from_json("imports", "array<string>"), empty), "parent_class": F.nullif(F.col("parent_class"), F.lit("")), "docstring": F.nullif(F.col("docstring"), F.lit(""))}
+    return rows.withColumns(made)

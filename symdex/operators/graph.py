@@ -51,6 +51,13 @@ def nodes(chunks: DataFrame) -> DataFrame:
     return m.unionByName(s).groupBy("name").agg(F.max_by(F.struct("type", "parent", "source_path", "location"), "o").alias("x")).select("name", "x.*")
 
 
+def detailed_nodes(chunks: DataFrame) -> DataFrame:
+    """`nodes` with what they hold: of modules exports and lines_of_code, of symbols signature and is_private."""
+    held = modules(chunks).select("name", "lines_of_code").join(exports(chunks), "name").withColumn("type", F.lit("module"))
+    said = symbols(chunks).select("name", "type", "signature", "is_private")
+    return nodes(chunks).join(held, ["name", "type"], "left").join(said, ["name", "type"], "left")
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     n = nodes(chunks).agg(F.sum((F.col("type") == "module").cast("long")).alias("total_modules"), F.sum(F.col("type").isin("function", "class").cast("long")).alias("total_symbols"))
     return n.crossJoin(edges(chunks).agg(F.count("*").alias("total_edges")))

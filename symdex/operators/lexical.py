@@ -17,11 +17,23 @@ def recall_size(k: int) -> int:
     return max(4 * k, 20)
 
 
-def postings(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(term, id, tf, positions, dl): the inverted index. One shuffle, by term and id."""
-    words = df.select(F.col(id_col).alias("id"), tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    each = words.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("position", "term"))
-    return each.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+def postings(df: DataFrame, id_col: str, text: Column, keep: tuple[str, ...] = (), words=tokens) -> DataFrame:
+    """(term, id, tf, positions, dl, *keep): the inverted index of what `words` makes of a text. One shuffle, by term and id."""
+    found = df.select(*keep, F.col(id_col).alias("id"), words(F.coalesce(text, F.lit(""))).alias("t"))
+    each = found.select(*keep, "id", F.size("t").alias("dl"), F.posexplode("t").alias("position", "term"))
+    return each.groupBy("term", "id", *keep).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+
+
+def grams(c: Column) -> Column:
+    """All runs of 3 characters of a text in lower case, in order: a substring is a phrase of them."""
+    low = F.lower(c)
+    return F.when(F.length(low) > 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_phrases(query: str) -> list[list[str]]:
+    """The query as one phrase of its grams; none if it is too short."""
+    needle = query.strip().replace('"', "").lower()
+    return [[needle[i : i + 3] for i in range(len(needle) - 2)]] if len(needle) > 2 else []
 
 
 def write_postings(df: DataFrame, path: str, files: int = 64) -> None:
@@ -65,7 +77,7 @@ def _kept(c: Column) -> Column:
 
 
 def bm25(df: DataFrame, text: Column, phrases: list[list[str]]) -> DataFrame:
-    """df's rows that match any phrase, with score. One pass and one small aggregation; the rows don't move."""
+    """df's rows that match any phrase, with score, without an index: one pass for the statistics and one for the scores; the rows don't move."""
     words = df.select("*", _kept(tokens(F.coalesce(text, F.lit("")))).alias("__w"))
     counted = words.select(*df.columns, F.size("__w").alias("dl"), _kept(phrase_counts(F.col("__w"), phrases)).alias("counts"))
     return score(counted, len(phrases))

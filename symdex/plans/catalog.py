@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from ..functions import text as X
 from ..functions.queries import CLUSTERS, cluster_lookup, expand_query, parse_query, window
 from ..operators import assemble, changes, graph, lexical, rank, vectors
 from ..session import checkpoint_dir, cut, read
+from ..store import Files, bucket_of
 from ..streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,7 +115,7 @@ def rerank_heuristic(spark, sf):
 
 
 def diversify(spark, sf):
-    hits = lexical.top(_code(spark, sf, CODE), "chunk_id", 200).join(chunk_fields(spark, sf, "file_path").withColumnRenamed("chunk_id", "id"), "id")
+    hits = _code(spark, sf, CODE).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"), "file_path")
     return rank.diversify(hits.select("id", "score", "file_path"), "file_path").select(F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
@@ -121,24 +123,65 @@ def search_pipeline(spark, sf):
     return search(read(spark, sf, "chunks").drop("indexed_at", "repo_id").dropDuplicates(["chunk_id"]), "flush ledger", 10)
 
 
-def search(chunks: DataFrame, query: str, k: int = 5, language: str | None = None, path_glob: str | None = None, custom: dict[str, list[str]] | None = None, edges: DataFrame | None = None, expand: bool = True, heuristics: bool = True, spread: bool = True) -> DataFrame:
+def index_tables(chunks: DataFrame, buckets: int) -> dict[str, DataFrame]:
+    """What an index holds of chunks, cut into buckets by file: `words` and `grams` (postings sorted by term) and `sizes` (one row a bucket).
+
+    The terms of a query are looked up in each bucket, where they prune row groups.
+    """
+    rows = chunks.select("chunk_id", bucket_of(F.col("file_path"), buckets).alias("bucket"), _blob().alias("blob"), F.concat_ws(" ", "symbol", "qualified_name").alias("names"))
+    n = F.greatest(F.length("names") - 2, F.lit(0))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sum(F.size(X.tokens(F.col("blob")))).alias("words"), F.sum(n).alias("grams"))
+
+    def sorted_by_term(p: DataFrame) -> DataFrame:
+        return p.repartition("bucket").sortWithinPartitions("bucket", "term", "id")
+
+    return {"words": sorted_by_term(lexical.postings(rows, "chunk_id", F.col("blob"), ("bucket",))), "grams": sorted_by_term(lexical.postings(rows, "chunk_id", F.col("names"), ("bucket",), lexical.grams)), "sizes": sizes}
+
+
+def _recalled(index: dict[str, DataFrame], name: str, phrases: list[list[str]]) -> DataFrame | None:
+    """(id, score) of a channel from its stored postings; None if there is nothing to look for."""
+    if not phrases:
+        return None
+    totals = index["sizes"].agg(F.sum("n_docs").alias("n_docs"), (F.sum(name) / F.sum("n_docs")).alias("avg_len"))
+    return lexical.bm25_postings(index[name], totals, phrases)
+
+
+def search(chunks: DataFrame, query: str, k: int = 5, language: str | None = None, path_glob: str | None = None, custom: dict[str, list[str]] | None = None, edges: DataFrame | None = None, expand: bool = True, heuristics: bool = True, spread: bool = True, index: dict[str, DataFrame] | None = None, nearest=None) -> DataFrame:
     """(chunk_id, file_path, symbol, score) of the k best chunks.
 
     Expand, recall by words and by substring, fuse, boost, cut to k, rerank by the query as asked, spread over files. Filters
-    apply after the statistics, which are those of all chunks.
+    apply after the statistics, which are those of all chunks. With the tables of `index_tables` no text is read before the
+    best are known, and of chunks only the rows of what was recalled.
     """
-    expanded, n = expand_query(query, custom) if expand else query, lexical.recall_size(k)
+    expanded, n = expand_query(query, custom, nearest=nearest) if expand else query, lexical.recall_size(k)
     phrases = parse_query(expanded)
     narrow = chunks.select("chunk_id", "symbol", "qualified_name", "language", "file_path")
-    code = lexical.bm25(chunks.select(*narrow.columns, "imports", "signature", "docstring", "content"), _blob(), phrases) if phrases else narrow.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    names = lexical.substring(narrow, F.concat_ws(" ", "symbol", "qualified_name"), expanded)
-    if language:
-        code, names = code.where(F.col("language") == language), names.where(F.col("language") == language)
-    if path_glob:
-        code, names = (x.where(F.col("file_path").rlike(X.glob_regex(path_glob))) for x in (code, names))
-    fused = cut(rank.fuse([lexical.top(code, "chunk_id", n), lexical.top(names, "chunk_id", n)]))
+    none = narrow.where(F.lit(False)).withColumn("score", F.lit(0.0))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("language") == language) if language else rows
+        return rows.where(F.col("file_path").rlike(X.glob_regex(path_glob))) if path_glob else rows
+
+    if index is None:
+        code = lexical.bm25(chunks.select(*narrow.columns, "imports", "signature", "docstring", "content"), _blob(), phrases) if phrases else none
+        names = lexical.substring(narrow, F.concat_ws(" ", "symbol", "qualified_name"), expanded)
+        lists = [lexical.top(kept(code), "chunk_id", n), lexical.top(kept(names), "chunk_id", n)]
+    else:
+        lists = []
+        for name, wanted in (("words", phrases), ("grams", lexical.gram_phrases(expanded))):
+            hits = _recalled(index, name, wanted)
+            if hits is None:
+                hits = none.select(F.col("chunk_id").alias("id"), "score")
+            elif language or path_glob:
+                hits = kept(narrow).join(hits, F.col("chunk_id") == F.col("id")).select("id", "score")
+            lists.append(lexical.top(hits, "id", n))
+    fused = cut(rank.fuse(lists))
+    edges = graph.edges(chunks) if edges is None else edges
+    if index is not None:
+        # at most two recall lists of ids, by which the sorted chunks prune
+        chunks = chunks.where(F.col("chunk_id").isin([r["id"] for r in fused.select("id").collect()]))
     placed = chunks.select(F.col("chunk_id").alias("id"), X.module_name(F.col("file_path")).alias("module"))
-    boosted = rank.boost(fused, placed, graph.edges(chunks) if edges is None else edges)
+    boosted = rank.boost(fused, placed, edges)
     best = boosted.select("id", F.bround("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     meta = chunks.select(F.col("chunk_id").alias("id"), "symbol", "qualified_name", "signature", "docstring", "file_path")
     ranked = meta.join(F.broadcast(best), "id")
@@ -147,6 +190,32 @@ def search(chunks: DataFrame, query: str, k: int = 5, language: str | None = Non
     return ranked.select(F.col("id").alias("chunk_id"), "file_path", "symbol", "score")
 
 
+def _stored(spark, sf: str, name: str, make) -> DataFrame:
+    """A table made once for the data of sf in the shared folder, as an index is, and read from there."""
+    import hashlib
+
+    path = f"{checkpoint_dir(spark)}/stored-{hashlib.sha256(os.path.realpath(sf).encode()).hexdigest()[:16]}/{name}"
+    if not Files(spark).exists(f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def bm25_stored(spark, sf):
+    """bm25_topk from stored postings."""
+    p = _stored(spark, sf, "postings", lambda: lexical.postings(documents(spark, sf), "doc_id", F.col("text")).repartition(16, "term").sortWithinPartitions("term", "id"))
+    totals = _stored(spark, sf, "totals", lambda: documents(spark, sf).select(F.size(X.tokens(F.coalesce("text", F.lit("")))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len")))
+    return lexical.top(lexical.bm25_postings(p, totals, parse_query(WORDS)), "id", 20).withColumnRenamed("id", "doc_id")
+
+
+def search_stored(spark, sf):
+    """search_pipeline on the stored index of the chunks."""
+    once = read(spark, sf, "chunks").drop("indexed_at", "repo_id").dropDuplicates(["chunk_id"])
+    c = _stored(spark, sf, "chunks", lambda: once.repartitionByRange(16, "chunk_id").sortWithinPartitions("chunk_id"))
+    made = index_tables(c, 8)
+    index = {k: _stored(spark, sf, k, lambda k=k: made[k]) for k in made}
+    return search(c, "flush ledger", 10, edges=_stored(spark, sf, "edges", lambda: graph.edges(c)), index=index)
+
+
 # -- text functions
 
 
@@ -186,6 +255,23 @@ def language_of(spark, sf):
     return files(spark, sf).select("file_id", X.language_of(F.col("file_path")).alias("language"))
 
 
+def symbol_rules(spark, sf):
+    c = chunk_fields(spark, sf, "symbol", "language", "signature")
+    return c.select("chunk_id", X.is_private(F.col("symbol"), F.col("language")).alias("private"), X.is_async(F.col("signature"), F.col("language")).alias("asynchronous"))
+
+
+def chunk_rows(spark, sf):
+    """Chunks as flat rows and back."""
+    c = chunk_fields(spark, sf, "imports", "parent_class", "docstring")
+    again = changes.from_rows(changes.to_rows(c))
+    return again.select("chunk_id", F.array_join("imports", "|").alias("imports"), "parent_class", "docstring")
+
+
+def graph_node_fields(spark, sf):
+    n = graph.detailed_nodes(_graph_chunks(spark, sf))
+    return n.select("name", "type", "lines_of_code", F.array_join("exports", " ").alias("exports"), "signature", "is_private")
+
+
 def query_phrases(spark, sf):
     return spark.createDataFrame([(q, i, " ".join(p)) for q in (WORDS, PHRASE, CODE, "检索引擎 parseHTTPServer_index") for i, p in enumerate(parse_query(q))], "query string, position int, phrase string")
 
@@ -283,8 +369,12 @@ def index_status(spark, sf):
 
 
 def _versions(spark, sf):
-    old = chunk_fields(spark, sf, "content_hash", "start_line").where("start_line % 7 <> 0")
-    new = chunk_fields(spark, sf, "content_hash", "start_line").where("start_line % 5 <> 0").withColumn("content_hash", F.when(F.col("start_line") % 3 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
+    """Two states of the index that the log of events tells apart: the old one lacks the chunks of files created since, the new one those of files deleted, and what was modified has another digest."""
+    c = chunk_fields(spark, sf, "file_path", "content_hash")
+    ops = E.once(read(spark, sf, "file_events")).groupBy("path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op"))
+    seen = c.join(ops.withColumnRenamed("path", "file_path"), "file_path", "left")
+    old = seen.where("op is null or op <> 'created'").select("chunk_id", "content_hash")
+    new = seen.where("op is null or op not in ('deleted', 'moved')").select("chunk_id", F.when(F.col("op") == "modified", F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"))
     return old, new
 
 
@@ -352,7 +442,7 @@ def cosine_knn(spark, sf):
 
 def cosine_threshold(spark, sf):
     v = _vectors(spark, sf)
-    return vectors.nearest(v, v.where("vec_id % 100 = 0"), 50, threshold=0.3).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return vectors.nearest(v, v.where("vec_id % 100 = 0"), None, threshold=0.3).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 # -- events
@@ -401,9 +491,9 @@ def chunk_files(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    names = """bm25_topk bm25_phrase bm25_filtered postings_terms bm25_from_postings substring_channel rrf_hybrid graph_boost rerank_heuristic diversify search_pipeline
-    camel_split identifier_parts terms_dedup cjk_bigrams sanitize_phrase glob_filter content_hash token_estimate language_of query_phrases
-    window_fetch window_presets budget_pack assembled module_naming graph_nodes graph_edges graph_stats graph_exports neighbors module_context
+    names = """bm25_topk bm25_phrase bm25_filtered postings_terms bm25_from_postings substring_channel rrf_hybrid graph_boost rerank_heuristic diversify search_pipeline search_stored bm25_stored
+    camel_split identifier_parts terms_dedup cjk_bigrams sanitize_phrase glob_filter content_hash token_estimate language_of symbol_rules chunk_rows query_phrases
+    window_fetch window_presets budget_pack assembled module_naming graph_nodes graph_node_fields graph_edges graph_stats graph_exports neighbors module_context
     file_symbols project_symbols_top20 symbols_by_file file_imports index_status manifest_diff change_counters upsert_merge file_diff mtime_changed delete_file collision_ids block_islands
     synonym_expand synonym_lookup cosine_knn cosine_threshold move_explode debounce_batch latest_event cooldown_batch stream_sessions chunk_files"""
     return {n: globals()[n] for n in names.split()}

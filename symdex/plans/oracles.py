@@ -126,8 +126,9 @@ PACKED = f"""costs AS (SELECT file_path, row_number() OVER (PARTITION BY file_pa
     packed AS (SELECT file_path, position, cost, cost <= {BUDGET} AS included, CASE WHEN cost <= {BUDGET} THEN cost ELSE 0 END AS running FROM costs WHERE position = 1
       UNION ALL SELECT c.file_path, c.position, c.cost, p.running + c.cost <= {BUDGET}, CASE WHEN p.running + c.cost <= {BUDGET} THEN p.running + c.cost ELSE p.running END
       FROM packed p JOIN costs c ON c.file_path = p.file_path AND c.position = p.position + 1)"""
-OLD = f"(SELECT chunk_id, content_hash FROM {CHUNKS} WHERE start_line % 7 <> 0)"
-NEW = f"(SELECT chunk_id, CASE WHEN start_line % 3 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM {CHUNKS} WHERE start_line % 5 <> 0)"
+SEEN = f"(SELECT c.chunk_id, c.content_hash, e.op FROM {CHUNKS} c LEFT JOIN (SELECT * FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1) e ON e.path = c.file_path)"
+OLD = f"(SELECT chunk_id, content_hash FROM {SEEN} WHERE op IS NULL OR op <> 'created')"
+NEW = f"(SELECT chunk_id, CASE WHEN op = 'modified' THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM {SEEN} WHERE op IS NULL OR op NOT IN ('deleted', 'moved'))"
 DIFF = f"""SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'deleted' WHEN o.content_hash IS NOT DISTINCT FROM n.content_hash THEN 'unchanged' ELSE 'updated' END AS status
     FROM {OLD} o FULL JOIN {NEW} n ON o.chunk_id = n.chunk_id"""
 _LOOKUP = ", ".join(f"('{w}', '{s}')" for w, group in cluster_lookup(CLUSTERS).items() for s in group if s != w)
@@ -147,7 +148,7 @@ ORACLES: dict[str, str] = {
         best AS (SELECT module FROM placed ORDER BY round(score, 6) DESC, id LIMIT 1)
         SELECT id AS chunk_id, round(score + CASE WHEN module IN (SELECT neighbour FROM near WHERE name IN (SELECT module FROM best)) THEN 0.5::DOUBLE / 61 ELSE 0 END, 6) AS score FROM placed""",
     "rerank_heuristic": f"SELECT chunk_id, {rerank(RERANK_Q)} AS score FROM (SELECT *, 0.0::DOUBLE AS score FROM {CHUNKS})",
-    "diversify": f"""WITH {bm25(CHUNKS, "chunk_id", BLOB, parse_query(CODE))}, best AS (SELECT id, round(score, 6) AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 200),
+    "diversify": f"""WITH {bm25(CHUNKS, "chunk_id", BLOB, parse_query(CODE))}, best AS (SELECT id, round(score, 6) AS score FROM scored),
         n AS (SELECT id, score, row_number() OVER (PARTITION BY split_part(id, '::', 1) ORDER BY score DESC, id) - 1 AS e FROM best) SELECT id AS chunk_id, round(score - 0.15::DOUBLE * e, 6) AS score FROM n""",
     "search_pipeline": f"""WITH {recall(_EXPANDED, _EXPANDED, 40)}, {PLAIN_EDGES}, {NEXT}, placed AS (SELECT id, score, {module("split_part(id, '::', 1)")} AS module FROM fused),
         best AS (SELECT module FROM placed ORDER BY round(score, 6) DESC, id LIMIT 1),
@@ -194,11 +195,31 @@ ORACLES: dict[str, str] = {
         b AS (SELECT *, CAST(sum(s) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS INTEGER) AS block FROM s) SELECT event_id, block, CAST(max(block) OVER (PARTITION BY path) + 1 AS INTEGER) AS blocks FROM b""",
     "synonym_lookup": f"WITH t(word, synonym) AS (VALUES {_LOOKUP}), w AS (SELECT DISTINCT doc_id, unnest({tokens('text')}) AS word FROM documents WHERE length(text) > 0) SELECT word, synonym, count(*) AS n FROM w JOIN t USING (word) GROUP BY ALL",
     "cosine_knn": f"SELECT * FROM ({KNN}) WHERE rank <= 3",
-    "cosine_threshold": f"SELECT query_id, id, similarity FROM ({KNN}) WHERE rank <= 50 AND similarity >= 0.3",
+    "cosine_threshold": f"SELECT query_id, id, similarity FROM ({KNN}) WHERE similarity >= 0.3",
     "move_explode": f"""SELECT event_id, path, action FROM (SELECT event_id, path, 'delete' AS action FROM {EVENTS} WHERE op IN ('deleted', 'moved') UNION ALL SELECT event_id, dest_path, 'upsert' FROM {EVENTS} WHERE op = 'moved'
         UNION ALL SELECT event_id, path, 'upsert' FROM {EVENTS} WHERE op NOT IN ('deleted', 'moved')) WHERE path IS NOT NULL AND path <> ''""",
     "debounce_batch": f"SELECT event_id, path, ts FROM (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS f FROM {EVENTS}) WHERE f IS NULL OR f - ts >= INTERVAL 500 MILLISECONDS",
     "latest_event": f"SELECT path, max(ts) AS ts FROM {EVENTS} GROUP BY path",
     "cooldown_batch": f"""WITH RECURSIVE e AS (SELECT path, ts FROM {EVENTS}), fired AS (SELECT path, min(ts) AS ts FROM e GROUP BY path
         UNION ALL SELECT path, ts FROM (SELECT f.path, min(e.ts) AS ts FROM fired f JOIN e ON e.path = f.path AND e.ts >= f.ts + INTERVAL 3600 SECONDS GROUP BY f.path, f.ts)) SELECT DISTINCT path, ts FROM fired""",
+    "bm25_stored": "",
+    "search_stored": "",
+    "symbol_rules": """SELECT chunk_id, coalesce(CASE language WHEN 'go' THEN symbol[1] <> upper(symbol[1]) WHEN 'rust' THEN symbol = '' OR symbol[1] = lower(symbol[1]) WHEN 'java' THEN false ELSE starts_with(symbol, '_') END, false) AS private,
+        coalesce(language NOT IN ('go', 'java') AND regexp_matches(signature, '(^|[\\s@])async\\s+(def|function|fn|unsafe|extern|with|for|[\\w$#\\[*])'), false) AS asynchronous FROM """ + CHUNKS,
+    "chunk_rows": f"SELECT chunk_id, coalesce(array_to_string(imports, '|'), '') AS imports, nullif(parent_class, '') AS parent_class, nullif(docstring, '') AS docstring FROM {CHUNKS}",
+    "graph_node_fields": f"""WITH {NODES}, public AS (SELECT {module("file_path")} AS name, symbol, file_path, start_line FROM {CHUNKS} WHERE chunk_type IN ('function', 'class') AND NOT starts_with(symbol, '_')),
+        lines AS (SELECT name, max_by(lines_of_code, source_path) AS lines_of_code FROM mods GROUP BY name), listed AS (SELECT name, string_agg(symbol, ' ' ORDER BY file_path, start_line, symbol) AS exports FROM public GROUP BY name)
+        SELECT n.name, n.type, CASE WHEN n.type = 'module' THEN l.lines_of_code END AS lines_of_code, CASE WHEN n.type = 'module' THEN coalesce(e.exports, '') END AS exports, s.signature, CASE WHEN s.name IS NOT NULL THEN starts_with(s.symbol, '_') END AS is_private
+        FROM nodes n LEFT JOIN lines l ON l.name = n.name LEFT JOIN listed e ON e.name = n.name LEFT JOIN syms s ON s.name = n.name AND n.type = s.type""",
+    # worked out by hand from the rules of the query language and the groups of synonyms
+    "query_phrases": """SELECT * FROM (VALUES ('ledger rebuilt cohort missing index', 0, 'ledger'), ('ledger rebuilt cohort missing index', 1, 'rebuilt'), ('ledger rebuilt cohort missing index', 2, 'cohort'), ('ledger rebuilt cohort missing index', 3, 'missing'), ('ledger rebuilt cohort missing index', 4, 'index'),
+        ('"search falls back" roster', 0, 'search falls back'), ('"search falls back" roster', 1, 'roster'),
+        ('flush ledgerIndex archive', 0, 'flush'), ('flush ledgerIndex archive', 1, 'ledgerindex'), ('flush ledgerIndex archive', 2, 'ledger'), ('flush ledgerIndex archive', 3, 'index'), ('flush ledgerIndex archive', 4, 'archive'),
+        ('检索引擎 parseHTTPServer_index', 0, '检索'), ('检索引擎 parseHTTPServer_index', 1, '索引'), ('检索引擎 parseHTTPServer_index', 2, '引擎'), ('检索引擎 parseHTTPServer_index', 3, 'parsehttpserver'), ('检索引擎 parseHTTPServer_index', 4, 'parse'), ('检索引擎 parseHTTPServer_index', 5, 'http'), ('检索引擎 parseHTTPServer_index', 6, 'server'), ('检索引擎 parseHTTPServer_index', 7, 'index')) t(query, position, phrase)""",
+    "synonym_expand": """SELECT * FROM (VALUES ('load user file', 'load user file get fetch retrieve obtain read query select account profile document'), ('flush cache', 'flush cache buffer pool memoize'),
+        ('parse config error', 'parse config error analyze inspect examine extract setting option preference parameter env exception'), ('unknownword', 'unknownword'), ('find find auth', 'find find auth search locate lookup discover scan authenticate login signin sign_in')) t(query, expanded)""",
+    # bursts as runs without a gap of half a second, instead of session windows
+    "stream_sessions": f"""WITH e AS (SELECT path, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) < INTERVAL 500 MILLISECONDS THEN 0 ELSE 1 END AS starts, event_id FROM {EVENTS}),
+        runs AS (SELECT path, ts, sum(starts) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT path, max(ts) AS ts, count(*) AS n FROM runs GROUP BY path, run""",
 }
+ORACLES["bm25_stored"], ORACLES["search_stored"] = ORACLES["bm25_topk"], ORACLES["search_pipeline"]

@@ -71,8 +71,15 @@ def signature(lines: list[str]) -> str:
     return re.sub(r"\s+", " ", " ".join(x.strip() for x in lines)).strip()
 
 
+#: Strings at the head of a block that direct a framework.
+PRAGMAS = frozenset(("use client", "use server", "use strict"))
+_STRING = re.compile(r"[\s;]*[rRuU]?(\"\"\"|'''|\"|')(.*?)(?<!\\)\1", re.S)
+
+
 def python_docstring(content: str) -> str | None:
-    m = re.match(r"\s*[rRuU]?(\"\"\"|'''|\"|')(.*?)(?<!\\)\1", content, re.S)
+    m = _STRING.match(content)
+    while m and m[2].strip().lower() in PRAGMAS:  # a directive, not documentation
+        m = _STRING.match(content, m.end())
     if not m:
         return None
     lines = m[2].split("\n")
@@ -83,8 +90,8 @@ def python_docstring(content: str) -> str | None:
 def python_imports(bare: str) -> list[str]:
     """Imported modules in order, without repeats; relative ones keep their dots."""
     out: list[str] = []
-    for m in re.finditer(r"^(?:import[ \t]+(.+)|from[ \t]+(\.*[\w.]*)[ \t]+import\b)", bare, re.M):
-        names = [x.split(" as ")[0].strip() for x in m[1].split(",")] if m[1] else [m[2]]
+    for m in re.finditer(r"(?:^|;[ \t]*)(?:import[ \t]+([^;\n]+)|from[ \t]+(\.*[\w.]*)[ \t]+import\b)", bare, re.M):
+        names = [re.split(r"\s+as\s+", x.strip())[0] for x in m[1].split(",")] if m[1] else [m[2]]
         out += [n for n in names if n and n != "__future__"]
     return list(dict.fromkeys(out))
 

@@ -75,6 +75,16 @@ def discover(spark: SparkSession, root: str | Path, rules: list[tuple[str, bool]
     return found.where(~ignored(F.col("file_path"), load_ignore(base) if rules is None else rules))
 
 
+def named(spark: SparkSession, root: str | Path, paths: list[str]) -> DataFrame:
+    """As `discover`, but only of the given relative paths, of which only those that exist are read."""
+    base = os.path.realpath(os.fspath(root))
+    there = [p for x in sorted(set(paths)) if os.path.isfile(p := os.path.join(base, x)) and os.path.realpath(p).startswith(base + os.sep)]
+    if not there:
+        return spark.createDataFrame([], "file_path string, content binary, mtime timestamp")
+    found = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/*" + re.escape(base) + "/", "").alias("file_path"), "content", F.col("modificationTime").alias("mtime"))
+    return found.where(~ignored(F.col("file_path"), load_ignore(base)))
+
+
 def as_text(files: DataFrame) -> DataFrame:
     """Files that are UTF-8 and not blank, with content as text and line ends made uniform."""
     text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), r"\r\n?", "\n")

@@ -65,22 +65,32 @@ def cooldown(df: DataFrame, key: str, time: str, gap_s: float = COOLDOWN_S) -> D
     return shown.repartition(key).sortWithinPartitions(key, time).mapInPandas(run, schema)
 
 
-def debounce_stream(stream: DataFrame, key: str = "path", gap_s: float = DEBOUNCE_S) -> DataFrame:
-    """(path, ts) once a key has been quiet for the gap of processing time; each event starts the wait anew."""
+def debounce_stream(stream: DataFrame, key: str = "path", gap_s: float = DEBOUNCE_S, value: str = "action", at_once: str = "delete") -> DataFrame:
+    """(path, ts, action) of the newest row of a key once it has been quiet for the gap of processing time; each row starts the wait anew.
+
+    stream is (path, ts, action). A newest row whose value is `at_once` doesn't wait, and drops what waited before it.
+    """
 
     def step(k, frames, state: GroupState):
-        newest = state.get[0] if state.exists else None
+        newest = state.get if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "ts": [pd.Timestamp(newest, unit="us")]})
+            yield pd.DataFrame({key: [k[0]], "ts": [pd.Timestamp(newest[0], unit="us")], value: [newest[1]]})
             return
         for f in frames:
-            top = int(f["ts"].max().value // 1000)
-            newest = top if newest is None else max(newest, top)
-        state.update((newest,))
-        state.setTimeoutDuration(int(gap_s * 1000))
+            f = f.sort_values("ts", kind="stable")
+            row = (int(f["ts"].iloc[-1].value // 1000), f[value].iloc[-1])
+            newest = row if newest is None or row[0] >= newest[0] else newest
+        if newest[1] == at_once:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({key: [k[0]], "ts": [pd.Timestamp(newest[0], unit="us")], value: [newest[1]]})
+            return
+        state.update(newest)
+        state.setTimeoutDuration(max(1, int(gap_s * 1000)))
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp", "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    shown = stream.select(key, "ts", value).where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    return shown.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, {value} string", f"newest long, {value} string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_stream(stream: DataFrame, key: str = "path", gap: str = "500 milliseconds", late: str = "10 minutes", once_by: str | None = None) -> DataFrame:

@@ -83,7 +83,7 @@ def test_engine_incremental(spark, tmp_path):
     (root / "node_modules" / "x.py").write_text("def hidden(): pass\n")
     (root / "src" / "auth.py").write_text("import store\n\n\ndef verify_token(token):\n    '''Checks a token.'''\n    return token\n")
     (root / "src" / "store.py").write_text("LIMIT = 1\n\n\ndef load_user(name):\n    return name\n")
-    e = Engine(spark, root, base)
+    e = Engine(spark, root, base, buckets=4, auto_build=False)
     assert e.status()["indexed"] is False
     with pytest.raises(RuntimeError):
         e.search("x")
@@ -105,8 +105,13 @@ def test_engine_incremental(spark, tmp_path):
     (root / "src" / "new.py").write_text("def fresh():\n    pass\n")
     (log / "1.json").write_text(json.dumps({"ts": "2025-01-01T00:00:00", "op": "created", "path": "src/new.py"}) + "\n" + json.dumps({"ts": "2025-01-01T00:00:01", "op": "deleted", "path": "src/store.py"}) + "\n")
     stream = spark.readStream.schema("ts timestamp, op string, path string, dest_path string").json(str(log))
-    e.watch(stream, tmp_path / "cp", availableNow=True).awaitTermination(60)
+    told = []
+    e.watch(stream, tmp_path / "cp", debounce_s=0, on_change=lambda d: told.append([tuple(r) for r in d.select("path", "action").collect()]), availableNow=True).awaitTermination(90)
     assert {x["file_path"] for x in e.store.read("chunks").collect()} == {"src/new.py"}
+    assert told == [[("src/new.py", "upsert"), ("src/store.py", "delete")]] and e.store.metadata()["graph_stale"] is False
+    assert e.search("load user")["results"] == [] and e.search("fresh")["results"][0]["file"] == "src/new.py"
+    assert [r["chunk_id"] for r in e.get_chunks(["src/new.py::fresh", "none", "src/new.py::fresh"]).collect()] == ["src/new.py::fresh"]
+    assert e.module_context("src/new.py").first()["symbol"] == "fresh"  # no neighbours: its own first symbol
 
 
 def test_debounce_and_cooldown(spark):
@@ -138,7 +143,7 @@ def test_debounce_stream(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
     (log / "1.json").write_text("\n".join(json.dumps({"ts": f"2025-01-01T00:00:0{k}Z", "path": p}) for k, p in enumerate("aab")))
-    stream = spark.readStream.schema("ts timestamp, path string").json(str(log))
+    stream = spark.readStream.schema("ts timestamp, path string").json(str(log)).withColumn("action", F.lit("upsert"))
     q = events.debounce_stream(stream, gap_s=0.3).writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="200 milliseconds").start()
     try:
         for k in range(60):
