@@ -29,6 +29,7 @@ COPY_SHARE = 0.5
 LEAST_RUNS = 20
 LEAST_LINES, SHAPES_SHARE = 20, 0.85
 BROADCAST_RUNS = 2_000_000  # of published files; beyond, the runs are joined
+FILTER_BITS = 27  # a bitmap of 2^27 bits tells runs that no published file has
 #: Phrases of the notices that public generators write.
 CUES = (
     "@generated", "auto generated", "auto-generated", "autogenerated", "automatically created", "automatically generated", "automatically produced",
@@ -45,7 +46,7 @@ NOTICES = tuple(
         r"(?:this (?:file|code|source|class|module|package) (?:is|was|has been) |file )?(?:auto(?:matically)?[- ]?|machine[- ])(?:generated|created|produced|written)(?:$|\s*[.:;!,(–—-]|\s+(?:by|from|with|using|on|at|via|file|code|source|do not|and (?:should|must|will))\b)",
         r"(?:this (?:file|code|source|class|module) (?:is|was|has been) )?generated (?:automatically|by (?!older|earlier|hand|people)|from|with|using|at \d|on \d|via|code\b|file\b|source\b)(?!.*\b(?:is|are) (?:read|checked|accepted|skipped|looked)\b)",
         r"(?:please )?do(?: not|n't) (?:edit|modify|change)(?:$|[.!:;,]| (?:this|by hand|manually|directly|-|–))",
-        r"(?:all |any |manual |your |hand )*(?:changes|edits|modifications)(?: made)?(?: to this file| here| by hand| manually)? (?:will be|are|get|would be) (?:lost|overwritten|discarded|removed)",
+        r"(?:all |any |manual |your |hand )*(?:changes|edits|modifications)(?: made)?(?: to this file| here| by hand| manually)? (?:(?:will be|are|get|would be) (?:lost|overwritten|discarded|removed|undone)|(?:will |would )?(?:vanish|disappear|be gone|not survive))\b",
     )
 )
 DENIED = re.compile(r"\b(?:not|never|isn't|wasn't) (?:auto-?|automatically |machine[- ])?generated\b")
@@ -60,9 +61,10 @@ WRITTEN = re.compile(
 
 _COMMENT = re.compile(r"(?:\s+|//[^\n]*|#(?!\[|include\b|define\b)[^\n]*|/\*.*?(?:\*/|\Z)|--[^\n]*|<!--.*?-->|[\"']use strict[\"'];?|[rRuUbB]?(\"\"\"|''').*?(?:\1|\Z))+", re.S)
 _BARE = re.compile(r"^[\s/*#!;\"'-]+|[\s*/!\"'-]+$")
-_PIECE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![\w\"'])#(?!\[)[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`?", re.S)
+_PIECE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![\w\"'])#(?!\[)[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|\'\'\'.*?(?:\'\'\'|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`?", re.S)
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
 _LOGIC = re.compile(r"\b(?:def|function|func|fn|return|if|else|for|while|switch|match|try|catch|except|raise|throw|import|use|await|yield)\b|=>|\w\(")
+_PASSED = re.compile(r"^[ \t]*(?:from[ \t]+[\w.]+[ \t]+import\b(?:[ \t]*\([^)]*\)|[^\n]*)|(?:import|export|use|pub use|require|mod|pub mod)\b(?:[^\n{=(]*\{[^}]*\})?[^\n=]*|__all__[ \t]*=[ \t]*[\[(][^\])]*[\])]|exports\.[^\n]*|Object\.defineProperty\(exports[^\n]*)$", re.M)
 _CODE = re.compile(r"[=;({\[]")
 _WORD = re.compile(r"[A-Za-z_]\w*|\d+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -91,7 +93,7 @@ def notice(text: str, automaton: ahocorasick.Automaton) -> str | None:
         seen = header.find("\n", end)
         seen = len(header) if seen < 0 else seen
         line = _BARE.sub("", header[start:seen])
-        if not DENIED.search(line) and ("vanish" in line and "edits" in line or any(p.match(line) for p in NOTICES)):
+        if not DENIED.search(line) and any(p.match(line) for p in NOTICES):
             return line
     return None
 
@@ -110,7 +112,8 @@ def makeup(text: str) -> str | None:
     start = text.lstrip("\ufeff \t\r\n")
     if start[:1] == "{" and start[1:].lstrip()[:1] in ('"', "}") or not _CODE.search(text):
         return None  # a document of another format under a wrong name, not code that holds data
-    shapes = Counter(x for x in _WORD.sub("w", text).replace(" ", "").replace("\t", "").split("\n") if x not in ("", "\r"))
+    # lists of imports and of what a module passes on are written by hand
+    shapes = Counter(x for x in _WORD.sub("w", _PASSED.sub("", text)).replace(" ", "").replace("\t", "").split("\n") if x not in ("", "\r"))
     n = sum(shapes.values())
     if n >= LEAST_LINES and sum(v for _, v in shapes.most_common(6)) >= SHAPES_SHARE * n:
         return "repetitive"
@@ -122,6 +125,8 @@ def makeup(text: str) -> str | None:
         nonlocal literal
         s = m.group(0)
         if s[0] in "\"'`":
+            if s[:3] in ('"""', "'''") and not text[max(0, m.start() - 400) : m.start()].rpartition("\n")[2].strip():
+                return " "  # a docstring is no data
             literal += len(s)
             return "  "
         return " "
@@ -162,20 +167,41 @@ _hash = _Hash()
 
 
 def _copies_by_join(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, package) by joining the runs, for any number of published files."""
+    """(file_id, upstream_id) by joining the runs, for any number of published files.
+
+    A file of which fewer runs than COPY_SHARE are in the bitmap of all published runs is no copy, so hand-written files send nothing. Files of one content are compared
+    once; counts of shared runs are added up before they are shuffled. Of several published files the one that shares most runs is given, then the least id.
+    """
 
     def run(batches):
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = runs(text)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(x.size, key, np.int64)), pa.array(np.full(x.size, x.size, np.int32)), pa.array(x)], ["key", "n", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * x.size, b.schema.field(0).type), pa.array(np.full(x.size, x.size, np.int32)), pa.array(x)], ["key", "n", "run"])
+
+    theirs = upstream.select(F.col("upstream_id").cast("long").alias("k"), "content").where("content is not null").mapInArrow(run, "key bigint, n int, run bigint").select(F.col("key").alias("other"), "run")
+    place = F.col("run").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = theirs.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(run & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2^21 rows at most
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared_map = files.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def likely(batches):
+        bits = shared_map.value
+        mask = np.int64((1 << FILTER_BITS) - 1)
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = runs(text)
+                at = x & mask
+                hit = x[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                if x.size >= LEAST_RUNS and hit.size >= COPY_SHARE * x.size:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * hit.size, pa.string()), pa.array(np.full(hit.size, x.size, np.int32)), pa.array(hit)], ["key", "n", "run"])
 
-    schema = "key bigint, n int, run bigint"
-    mine = files.select(F.col("file_id").cast("long"), "content").mapInArrow(run, schema)
-    theirs = upstream.select(F.col("upstream_id").cast("long"), "content").where("content is not null").mapInArrow(run, schema).select(F.col("key").alias("other"), "run")
+    named = files.select(F.col("file_id").cast("long"), F.sha2("content", 256).alias("key"), "content")
+    mine = named.select("key", "content").dropDuplicates(["key"]).mapInArrow(likely, "key string, n int, run bigint")
     shared = mine.join(theirs, "run").groupBy("key", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    best = shared.where((F.col("n") >= LEAST_RUNS) & (F.col("shared") >= COPY_SHARE * F.col("n"))).groupBy("key").agg(F.min("other").alias("upstream_id"))
-    return best.select(F.col("key").alias("file_id"), "upstream_id")
+    best = shared.where(F.col("shared") >= COPY_SHARE * F.col("n")).groupBy("key").agg(F.max_by("other", F.struct("shared", (-F.col("other")).alias("o"))).alias("upstream_id"))
+    return named.select("file_id", "key").join(best, "key").select("file_id", "upstream_id").distinct()
 
 
 def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -186,7 +212,7 @@ def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
     small = (known.agg(F.sum(F.length("content"))).first()[0] or 0) <= BROADCAST_RUNS * 4
     table = None
     if small:
-        rows = known.collect()
+        rows = known.orderBy("upstream_id").collect()
         sets = [runs(r["content"]) for r in rows]
         every = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.int64)
         table = files.sparkSession.sparkContext.broadcast((every, [np.searchsorted(every, s) for s in sets], [r["name"] for r in rows]))
@@ -232,4 +258,6 @@ def evidence(files: DataFrame, upstream: DataFrame) -> DataFrame:
     if table is None:
         more = _copies_by_join(shown, known).join(known.select("upstream_id", "name"), "upstream_id")
         found = found.unionByName(shown.select("file_id", "file_path").join(more, "file_id").select("file_id", "file_path", F.lit("copy").alias("kind"), F.col("name").alias("detail")))
-    return found.groupBy("file_id").agg(F.min(F.struct("kind", "file_path", "detail")).alias("x")).select("file_id", "x.file_path", "x.kind", "x.detail")
+    # other evidence comes before a copy, whichever way copies were found
+    first = F.struct((F.col("kind") == "copy").cast("int").alias("later"), "kind", "file_path", "detail")
+    return found.groupBy("file_id").agg(F.min(first).alias("x")).select("file_id", "x.file_path", "x.kind", "x.detail")
