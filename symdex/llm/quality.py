@@ -50,9 +50,11 @@ def word_lists(common_words: DataFrame) -> tuple[list[str], list[str]] | None:
     return sorted(r["w"] for r in rows if not r["h"]), sorted(r["w"] for r in rows if r["h"])
 
 
-def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: tuple[str, ...] = FEATURES) -> DataFrame:
+def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", features: tuple[str, ...] = FEATURES, only_where: dict[str, Column] | None = None) -> DataFrame:
     """(id, n_lines, *features) of every row; n_lines counts lines that aren't blank. Only what the features need is worked out.
 
+    only_where gives conditions over the other features; a feature named there is null where its condition doesn't hold.
+
     A word is a run of letters and marks; each Han character counts as a word of its own. common_share: of words, those in the table
     (for Han, of characters those in a common word). prose_share: of characters, those in lines with enough common words.
     A table of common words beyond MAX_WORDS isn't put into the plan: the words of the texts are joined with it, to the same result
@@ -114,8 +116,12 @@ def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", t
     if "repeat_share" in features:
         a = a.withColumn("parts", F.filter(F.split("t", r"(?<=[.!?。！？])|\n"), lambda x: F.length(x) > 12))
     # explode of one element: filters on what follows must not be pushed below, where they'd repeat the work for each mention
-    told = a.select("__id", F.explode(F.array(F.struct("n_lines", *[made[f]().alias(f) for f in features]))).alias("f"))
-    return told.select(F.col("__id").alias(id_col), "f.*")
+    later = {f: c for f, c in (only_where or {}).items() if f in features}
+    told = a.select("__id", "t", *(["n_shown"] if set(later) & {"prose_share", "list_share", "cell_share"} else []), F.explode(F.array(F.struct("n_lines", *[made[f]().alias(f) for f in features if f not in later]))).alias("f"))
+    if not later:
+        return told.select(F.col("__id").alias(id_col), "f.*")
+    told = told.select("*", "f.*").withColumn("g", F.explode(F.array(F.struct(*[F.when(c, made[f]()).alias(f) for f, c in later.items()]))))
+    return told.select(F.col("__id").alias(id_col), "n_lines", *[F.col(f"g.{f}") if f in later else F.col(f"f.{f}") for f in features])
 
 
 def _joined(df: DataFrame, common_words: DataFrame, id_col: str, text_col: str, features: tuple[str, ...]) -> DataFrame:
@@ -257,6 +263,19 @@ def named(rules: list[Rule]) -> tuple[str, ...]:
     return tuple(f for f in FEATURES if any(c.feature == f for r in rules for c in r))
 
 
+def _needed(rules: list[Rule], feature: str) -> dict[str, Column]:
+    """Where a statistic can decide: where all other conditions of some rule that names it hold."""
+    out = None
+    for rule in rules:
+        others = [c.column() for c in rule if c.feature != feature]
+        if len(others) < len(rule):
+            holds = F.lit(True)
+            for c in others:
+                holds = holds & c
+            out = holds if out is None else out | holds
+    return {} if out is None else {feature: out}
+
+
 def rules_of(documents: DataFrame, labels: DataFrame, common_words: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
     """The rules learned on the labelled documents, whose statistics are the only ones worked out here."""
     known = labels.select("doc_id").where("label is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_labels)
@@ -273,6 +292,9 @@ def classify(documents: DataFrame, labels: DataFrame, common_words: DataFrame, m
 
 
 def found(documents: DataFrame, labels: DataFrame, common_words: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(doc_id) of the documents that aren't prose, as `classify` tells; of the statistics only those that the rules name are worked out."""
+    """(doc_id) of the documents that aren't prose, as `classify` tells; of the statistics only those that the rules name are worked out.
+
+    prose_share looks at the words of each line by itself; it is worked out where the other conditions of a rule that names it hold.
+    """
     rules = rules_of(documents, labels, common_words, max_labels)
-    return _told(statistics(documents, common_words, features=named(rules)), rules).where("not is_prose").select("doc_id")
+    return _told(statistics(documents, common_words, features=named(rules), only_where=_needed(rules, "prose_share")), rules).where("not is_prose").select("doc_id")

@@ -70,6 +70,16 @@ def test_found_is_what_classify_tells(tables):
     assert {r["doc_id"] for r in Q.found(*tables).collect()} == told and told
 
 
+def test_lazy_statistics_decide_alike(tables):
+    rules = [(Q.Condition("common_share", False, 0.3), Q.Condition("prose_share", False, 0.5)), (Q.Condition("digit_ratio", True, 0.3),)]
+    names = Q.named(rules)
+    whole = Q._told(Q.statistics(tables[0], tables[2], features=names), rules)
+    lazy = Q._told(Q.statistics(tables[0], tables[2], features=names, only_where=Q._needed(rules, "prose_share")), rules)
+    told = lambda d: sorted((r["doc_id"], r["is_prose"]) for r in d.collect())
+    assert told(whole) == told(lazy) and 0 < whole.where("not is_prose").count() < whole.count()
+    assert lazy.where("prose_share is null").count() > 0 and lazy.columns == whole.columns
+
+
 def test_only_named_statistics(spark, tables):
     made = Q.statistics(tables[0], tables[2], features=("digit_ratio",))
     assert made.columns == ["doc_id", "n_lines", "digit_ratio"] and made.count() == tables[0].count()
