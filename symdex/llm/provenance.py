@@ -98,6 +98,12 @@ def notice(text: str, automaton: ahocorasick.Automaton) -> str | None:
     return None
 
 
+def _few_shapes(text: str) -> bool:
+    shapes = Counter(x for x in _WORD.sub("w", text).replace(" ", "").replace("\t", "").split("\n") if x not in ("", "\r"))
+    n = sum(shapes.values())
+    return n >= LEAST_LINES and sum(v for _, v in shapes.most_common(6)) >= SHAPES_SHARE * n
+
+
 def makeup(text: str) -> str | None:
     """'minified', 'repetitive' or 'data' for what the text consists of, else None.
 
@@ -112,10 +118,8 @@ def makeup(text: str) -> str | None:
     start = text.lstrip("\ufeff \t\r\n")
     if start[:1] == "{" and start[1:].lstrip()[:1] in ('"', "}") or not _CODE.search(text):
         return None  # a document of another format under a wrong name, not code that holds data
-    # lists of imports and of what a module passes on are written by hand
-    shapes = Counter(x for x in _WORD.sub("w", _PASSED.sub("", text)).replace(" ", "").replace("\t", "").split("\n") if x not in ("", "\r"))
-    n = sum(shapes.values())
-    if n >= LEAST_LINES and sum(v for _, v in shapes.most_common(6)) >= SHAPES_SHARE * n:
+    # lists of imports and of what a module passes on are written by hand, so it must be so without them too
+    if _few_shapes(text) and _few_shapes(_PASSED.sub("", text)):
         return "repetitive"
     if 300 * sum(map(text.count, ("return", "if ", "for ", "def ", "fn ", "func"))) > len(text):
         return None
