@@ -490,12 +490,33 @@ def chunk_files(spark, sf):
     return chunk_table(files(spark, sf).where("content is not null"), "file_path", "content").drop("content", "imports")
 
 
+#: A small file of each language; what they are cut into is written out in the oracle by hand.
+SOURCES = {
+    "a/repo.py": '"""Module doc."""\nimport os\nfrom .near import thing\nLIMIT = 3\n\n\n@cache\ndef total(items):\n    """Adds up."""\n    def inner(x):\n        return x\n    return sum(items)\n\n\nclass Store(Base):\n    kind = "x"\n\n    def __init__(self, path):\n        self.path = path\n\n    async def load(self):\n        return 1\n',
+    "b.go": "package a\n\ntype T struct { x int }\n\nfunc (t *T) Load() int {\n\treturn 1\n}\n",
+    "c.js": "import a from 'a';\nexport class B {\n  x = 1;\n  get y() { return `}`; }\n}\nfunction z() {}\n",
+    "D.java": "package p;\nclass A {\n  A() {}\n  @X int b(int c) { return '}'; }\n}\n",
+    "e.rs": "use x::y;\nimpl A { fn b() {} }\npub struct A { x: u8 }\nfn c() { }\n",
+    "f.py": "def f():\n    pass\n\n\ndef f():\n    pass\n",
+    "g.cpp": "int main() {}\n",
+    "h.py": " \n",
+}
+
+
+def chunk_rules(spark, sf):
+    """The rules of chunking on SOURCES; `chunk_files` applies them to the whole table."""
+    from ..sources.chunker import chunk_table
+
+    made = chunk_table(spark.createDataFrame(list(SOURCES.items()), "file_path string, content string"))
+    return made.select("chunk_id", "chunk_type", "symbol", F.coalesce("parent_class", F.lit("")).alias("parent_class"), "start_line", "end_line", F.array_join("imports", " ").alias("imports"))
+
+
 def queries() -> dict[str, Query]:
     names = """bm25_topk bm25_phrase bm25_filtered postings_terms bm25_from_postings substring_channel rrf_hybrid graph_boost rerank_heuristic diversify search_pipeline search_stored bm25_stored
     camel_split identifier_parts terms_dedup cjk_bigrams sanitize_phrase glob_filter content_hash token_estimate language_of symbol_rules chunk_rows query_phrases
     window_fetch window_presets budget_pack assembled module_naming graph_nodes graph_node_fields graph_edges graph_stats graph_exports neighbors module_context
     file_symbols project_symbols_top20 symbols_by_file file_imports index_status manifest_diff change_counters upsert_merge file_diff mtime_changed delete_file collision_ids block_islands
-    synonym_expand synonym_lookup cosine_knn cosine_threshold move_explode debounce_batch latest_event cooldown_batch stream_sessions chunk_files"""
+    synonym_expand synonym_lookup cosine_knn cosine_threshold move_explode debounce_batch latest_event cooldown_batch stream_sessions chunk_files chunk_rules"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -211,6 +211,13 @@ ORACLES: dict[str, str] = {
         lines AS (SELECT name, max_by(lines_of_code, source_path) AS lines_of_code FROM mods GROUP BY name), listed AS (SELECT name, string_agg(symbol, ' ' ORDER BY file_path, start_line, symbol) AS exports FROM public GROUP BY name)
         SELECT n.name, n.type, CASE WHEN n.type = 'module' THEN l.lines_of_code END AS lines_of_code, CASE WHEN n.type = 'module' THEN coalesce(e.exports, '') END AS exports, s.signature, CASE WHEN s.name IS NOT NULL THEN starts_with(s.symbol, '_') END AS is_private
         FROM nodes n LEFT JOIN lines l ON l.name = n.name LEFT JOIN listed e ON e.name = n.name LEFT JOIN syms s ON s.name = n.name AND n.type = s.type""",
+    # the chunks of SOURCES, by hand
+    "chunk_rules": """SELECT * FROM (VALUES ('a/repo.py::<module>', 'module', 'repo', '', 1, 4, 'os .near'), ('a/repo.py::total', 'function', 'total', '', 7, 12, ''), ('a/repo.py::Store', 'class', 'Store', '', 15, 16, ''),
+        ('a/repo.py::Store.__init__', 'method', '__init__', 'Store', 18, 19, ''), ('a/repo.py::Store.load', 'method', 'load', 'Store', 21, 22, ''), ('b.go::<module>', 'module', 'b', '', 1, 1, ''), ('b.go::Load', 'function', 'Load', '', 5, 7, ''),
+        ('c.js::<module>', 'module', 'c', '', 1, 1, ''), ('c.js::B', 'class', 'B', '', 2, 3, ''), ('c.js::B.y', 'method', 'y', 'B', 4, 4, ''), ('c.js::z', 'function', 'z', '', 6, 6, ''),
+        ('D.java::<module>', 'module', 'D', '', 1, 1, ''), ('D.java::A', 'class', 'A', '', 2, 2, ''), ('D.java::A.A', 'method', 'A', 'A', 3, 3, ''), ('D.java::A.b', 'method', 'b', 'A', 4, 4, ''),
+        ('e.rs::<module>', 'module', 'e', '', 1, 1, ''), ('e.rs::A', 'class', 'A', '', 3, 3, ''), ('e.rs::c', 'function', 'c', '', 4, 4, ''), ('f.py::f', 'function', 'f', '', 1, 2, ''), ('f.py::f:5', 'function', 'f', '', 5, 6, ''))
+        t(chunk_id, chunk_type, symbol, parent_class, start_line, end_line, imports)""",
     # worked out by hand from the rules of the query language and the groups of synonyms
     "query_phrases": """SELECT * FROM (VALUES ('ledger rebuilt cohort missing index', 0, 'ledger'), ('ledger rebuilt cohort missing index', 1, 'rebuilt'), ('ledger rebuilt cohort missing index', 2, 'cohort'), ('ledger rebuilt cohort missing index', 3, 'missing'), ('ledger rebuilt cohort missing index', 4, 'index'),
         ('"search falls back" roster', 0, 'search falls back'), ('"search falls back" roster', 1, 'roster'),
