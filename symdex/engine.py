@@ -23,6 +23,7 @@ from .store import BUCKETS, Store, bucket_of
 from .streaming import events
 
 MOST_RESULTS, MOST_IMPORTS = 20, 20  # of the calls that give text
+CONTEXT_IMPORTS, SHOWN_SIGNATURE = 30, 120
 INDEX = ("words", "grams", "sizes")
 
 
@@ -219,6 +220,20 @@ class Engine:
         own = chunks.where((F.col("file_path") == path) & (F.col("chunk_type") != "module")).orderBy("start_line", "chunk_id").limit(1)
         return own.select(F.lit(None).cast("string").alias("neighbour"), F.lit(0).alias("position"), "symbol")
 
+    def module_text(self, path: str) -> str:
+        """A module as text: its imports, what its neighbours export, and where its first symbol is."""
+        info = self._chunks().where(F.col("file_path") == path)
+        imports = info.where("chunk_type = 'module'").select(F.slice(F.coalesce("imports", F.array().cast("array<string>")), 1, CONTEXT_IMPORTS).alias("i")).first()
+        near: dict[str, list[str]] = {}
+        for r in self.module_context(path).where("neighbour is not null").collect():  # a few exports of each neighbour
+            near.setdefault(r["neighbour"], []).append(r["symbol"])
+        first = info.where("chunk_type <> 'module'").orderBy("start_line", "chunk_id").first()
+        lines = [f"# {path}"] + ([f"imports: {', '.join(imports['i'])}"] if imports and imports["i"] else [])
+        lines += [f"{name}: {', '.join(symbols)}" for name, symbols in sorted(near.items())]
+        if first:
+            lines.append(f"{first['chunk_type']} {first['qualified_name']} at {path}:{first['start_line']}: {(first['signature'] or '')[:SHOWN_SIGNATURE]}")
+        return "\n".join(lines)
+
     def status(self) -> dict:
         if not self._whole():
             message = "The index is of an older schema; analyze builds it anew" if self.store.outdated() else "No search index; call analyze first"

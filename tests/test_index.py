@@ -93,6 +93,7 @@ def test_engine_incremental(spark, tmp_path):
     assert found["results"][0]["ref"] == "src/auth.py:4" and "return token" in found["results"][0]["content"]
     assert "verify_token" in e.search_text("verify token")
     assert [x["neighbour"] for x in e.module_context("src/auth.py").collect()] == ["store"]
+    assert e.module_text("src/auth.py") == "# src/auth.py\nimports: store\nstore: load_user\nfunction verify_token at src/auth.py:4: def verify_token(token):"
     time.sleep(1.1)
     (root / "src" / "store.py").write_text("LIMIT = 1\n\n\ndef load_user(name):\n    return name + 'x'\n\n\ndef drop_user(name):\n    pass\n")
     os.remove(root / "src" / "auth.py")
